@@ -41,8 +41,9 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``, without a regular expression."""
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    """How many characters of ``text`` are in ``chars``."""
+    rest = F.replace(text, F.lit(chars), F.lit("")) if len(chars) == 1 else F.translate(text, chars, "")
+    return F.char_length(text) - F.char_length(rest)
 
 
 def extract_all(text: Column, pattern: str) -> Column:

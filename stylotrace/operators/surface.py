@@ -10,45 +10,54 @@ from stylotrace.functions import text as T
 from stylotrace.functions.numbers import ratio
 
 PUNCT_CHARS = ".,!?;:-—()"  # fixed value: the ten characters counted as punctuation
-
-
-def _measures(text: Column) -> dict[str, Column]:
-    chars = F.char_length(text)
-    words = T.whitespace_words(text)
+QUOTE_CHARS = '"«»'
+# Runs of small letters and blanks make up most of a text; a plain class skips them quickly.
+_PLAIN = r"[a-zа-яёß-öø-ÿ\s]+"
+# Everything that no count below looks at; runs of it shrink to one blank.
+_REST = "[^" + T.UPPERCASE[1:-1] + T.DIGIT[1:-1] + r".,!?;:\-—()" + QUOTE_CHARS + "]+"
+
+
+def _measured(df: DataFrame, text: str) -> DataFrame:
+    """Split the text and reduce it to the characters of interest once; counts run on the result."""
+    source = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumns(
+        {
+            "_words": T.whitespace_words(source),
+            "_kept": F.regexp_replace(F.regexp_replace(source, _PLAIN, " "), _REST, " "),
+            "_chars": F.char_length(source),
+        }
+    )
+
+
+def _measures() -> dict[str, Column]:
+    kept, chars, words = F.col("_kept"), F.col("_chars"), F.col("_words")
     n_words = F.size(words)
-    per_mille = lambda chars_in: T.count_chars(text, chars_in) * F.lit(1000.0) / chars
-    sentences = F.greatest(T.count_matches(text, "[.!?]+"), F.lit(1))
-    letters_in_words = chars - F.char_length(F.regexp_replace(text, f"[^{T.WS}]", ""))
+    marks = lambda chars_in: T.count_chars(kept, chars_in)
+    per_mille = lambda chars_in: ratio(marks(chars_in) * F.lit(1000.0), chars)
+    sentences = F.greatest(T.count_matches(kept, "[.!?]+"), F.lit(1))
     return {
         "comma_density": per_mille(","),
         "dash_density": per_mille("-—"),
-        "quote_density": per_mille('"«»'),
+        "quote_density": per_mille(QUOTE_CHARS),
         "excl_density": per_mille("!"),
         "punct_intensity": per_mille(PUNCT_CHARS),
-        "avg_word_len": ratio(letters_in_words, F.greatest(n_words, F.lit(1))),
-        "avg_sent_len": F.greatest(n_words, F.lit(1)) / sentences,
-        "caps_ratio": T.count_matches(text, T.UPPERCASE) / chars,
-        "digit_ratio": T.count_matches(text, T.DIGIT) / chars,
-        "unique_word_ratio": ratio(
-            F.size(F.array_distinct(F.transform(words, F.lower))), F.greatest(n_words, F.lit(1))
-        ),
+        "avg_word_len": ratio(F.char_length(F.array_join(words, "")), n_words),
+        "avg_sent_len": n_words / sentences,
+        "caps_ratio": ratio(T.count_matches(kept, T.UPPERCASE), chars),
+        "digit_ratio": ratio(T.count_matches(kept, T.DIGIT), chars),
+        "unique_word_ratio": ratio(F.size(F.array_distinct(F.transform(words, F.lower))), n_words),
     }
 
 
 def surface_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the ten surface features; null or blank texts get zeros."""
-    blank = F.col(text).isNull() | (T.strip(F.col(text)) == "")
-    m = _measures(F.col(text))
-    return df.withColumns({f: F.when(blank, 0.0).otherwise(m[f]).cast("double") for f in SURFACE_FEATURES})
+    measures = _measures()
+    found = {f: F.when(F.size("_words") == 0, 0.0).otherwise(measures[f]).cast("double") for f in SURFACE_FEATURES}
+    return _measured(df, text).withColumns(found).drop("_words", "_kept", "_chars")
 
 
 def surface_features_v1(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the seven features of the first variant: word length counts blanks, only '' gives zeros."""
-    source = F.col(text)
-    empty = source.isNull() | (source == "")
-    m = _measures(source)
-    n_words = F.size(T.whitespace_words(source))
-    sentences = F.greatest(T.count_matches(source, "[.!?]+"), F.lit(1))
-    m["avg_word_len"] = ratio(F.char_length(source), n_words)
-    m["avg_sent_len"] = n_words / sentences
-    return df.withColumns({f: F.when(empty, 0.0).otherwise(m[f]).cast("double") for f in SURFACE_FEATURES_V1})
+    measures = _measures() | {"avg_word_len": ratio(F.col("_chars"), F.size("_words"))}
+    found = {f: F.when(F.col("_chars") == 0, 0.0).otherwise(measures[f]).cast("double") for f in SURFACE_FEATURES_V1}
+    return _measured(df, text).withColumns(found).drop("_words", "_kept", "_chars")

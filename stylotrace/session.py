@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", app: str = "stylotrace", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("STYLOTRACE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -51,3 +52,13 @@ def materialise(df: DataFrame) -> DataFrame:
         base = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(base or shared_dir(spark, "checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Give every core work when the input has fewer splits than there are cores; else leave it alone.
+
+    Only for jobs whose cost per row is high next to moving the row once. Inputs of cluster size have
+    more splits than cores and are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df
