@@ -106,11 +106,13 @@ def classification_report(pred: DataFrame, keys: Sequence[str] = (), y: str = "y
 
 def roc_curve(pred: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) at distinct scores without collinear points; starts at (0, 0), threshold null."""
+    if not keys:
+        return roc_curve(pred.withColumn("_all", F.lit(0)), ["_all"], y, p).drop("_all")
     keys = list(keys)
     running = _running(pred, keys, y, p, following=["pos", "neg"])
     totals = running.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     start = totals.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    joined = running.join(F.broadcast(totals), keys) if keys else running.join(F.broadcast(totals), F.lit(True))
+    joined = running.join(F.broadcast(totals), keys)  # one row per experiment
     # A point is kept where the step into it differs from the step out of it; so are both ends.
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     last = F.col("next_pos").isNull()
@@ -126,11 +128,13 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str =
 
 def pr_curve(pred: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, precision, recall) at every distinct score and the closing point (1, 0), threshold null."""
+    if not keys:
+        return pr_curve(pred.withColumn("_all", F.lit(0)), ["_all"], y, p).drop("_all")
     keys = list(keys)
     running = _running(pred, keys, y, p)
     totals = running.groupBy(*keys).agg(F.sum("pos").alias("_p"))
     end = totals.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    joined = running.join(F.broadcast(totals), keys) if keys else running.join(F.broadcast(totals), F.lit(True))
+    joined = running.join(F.broadcast(totals), keys)  # one row per experiment
     points = joined.select(
         *keys,
         F.col("score").alias("threshold"),

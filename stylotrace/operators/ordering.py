@@ -98,6 +98,11 @@ def prefix_sum(
     does; beyond that the values are cut in buckets and only bucket totals meet in one place.
     """
     keys = list(keys)
+    if not keys:
+        alone = prefix_sum(
+            counts.withColumn("_all", F.lit(0)), ["_all"], order, sums, descending, following, rows_per_bucket
+        )
+        return alone.drop("_all")
     counts = materialise(counts)
     n = counts.count()
     direction = F.col(order).desc() if descending else F.col(order).asc()
