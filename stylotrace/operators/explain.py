@@ -58,7 +58,7 @@ def reasons(signals: Column, rules: Sequence[tuple] = EXPLANATION_RULES) -> Colu
         sign = F.when(s["rule"].isin(above), " > ").otherwise(" < ")
         return F.concat(
             F.lit("["), s["hypothesis"], F.lit("] "), F.element_at(texts, s["rule"]), F.lit(" ("), s["feature"],
-            F.lit(" "), F.format_number(s["value"], "0.000"), sign, s["threshold"].cast("string"), F.lit(")"),
+            F.lit(" "), F.format_string("%.3f", s["value"]), sign, s["threshold"].cast("string"), F.lit(")"),
         )
 
     return F.when(F.size(signals) > 0, F.transform(signals, sentence)).otherwise(F.array(F.lit(NO_REASON)))
