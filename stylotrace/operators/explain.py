@@ -96,16 +96,13 @@ def predict_with_explanation(
 
 def hypothesis_counts(df: DataFrame, id_col: str = "doc_id", rules: Sequence[tuple] = EXPLANATION_RULES) -> DataFrame:
     """Fired rules per row and hypothesis, zeros included. Computed in the row."""
+
+    def fired(group: str) -> Column:
+        return F.size(F.filter("_s", lambda s: s["hypothesis"] == group))
+
     groups = sorted({r[4] for r in rules})
-    signals = rule_signals(rules)
-    entries = [
-        F.struct(
-            F.lit(g).alias("hypothesis"),
-            F.size(F.filter("_s", lambda s, g=g: s["hypothesis"] == g)).alias("n_signals"),
-        )
-        for g in groups
-    ]
-    return df.withColumn("_s", signals).select(id_col, F.inline(F.array(*entries)))
+    entries = [F.struct(F.lit(g).alias("hypothesis"), fired(g).alias("n_signals")) for g in groups]
+    return df.withColumn("_s", rule_signals(rules)).select(id_col, F.inline(F.array(*entries)))
 
 
 def feature_importance(weights: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ class TfidfModel:
         """The same weights as one sparse ML vector per row, computed in place without a shuffle."""
         rows = self.terms.orderBy("term_id").collect()  # max_features rows
         counter = CountVectorizerModel.from_vocabulary(
-            df.sparkSession.sparkContext, [r["term"] for r in rows], inputCol="_grams", outputCol="_tf"
+            [r["term"] for r in rows], inputCol="_grams", outputCol="_tf"
         )
         counted = counter.transform(df.withColumn("_grams", grams(F.col(text), self.stop_words)))
         if self.sublinear:

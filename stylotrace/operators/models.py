@@ -41,6 +41,7 @@ def random_forest(preset: dict, features: str = "features", label: str = "y", se
         maxDepth=min(preset["depth"] or MAX_DEPTH, MAX_DEPTH),
         minInstancesPerNode=preset["leaf"],
         featureSubsetStrategy="sqrt",
+        maxMemoryInMB=1024,  # more nodes per pass over the data, so fewer passes
         seed=seed,
     )
     return forest.setWeightCol("weight") if preset["balanced"] else forest
