@@ -15,6 +15,8 @@ from stylotrace.functions.numbers import entropy_bits, ratio
 from stylotrace.operators.tokens import token_relation
 
 MIN_CHARS = 20
+# Sums of logarithms depend on their order in the last digits; ranks need equal documents to be equal.
+FEATURE_DIGITS = 9
 
 
 @F.pandas_udf(DoubleType())
@@ -147,6 +149,7 @@ def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> Da
         entropy_bits(F.col("_content"), F.col("_tags_nlogn")).alias("pos_entropy"),
         F.col("_tokens").cast("double").alias("total_tokens"),
     )
+    out = out.select("doc_id", *[F.round(f, FEATURE_DIGITS).alias(f) for f in out.columns[1:]])
     if with_compression:
         out = out.join(pos_compression(tokens), "doc_id", "left")
     return out

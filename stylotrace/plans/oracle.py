@@ -328,7 +328,7 @@ SELECT doc_id, sent_id, max(depth) AS max_depth, CAST(sum(depth) AS BIGINT) AS d
 def syntactic_cte(src: str, name: str = "syn") -> str:
     """Features ``syn(doc_id, ...)`` of ``src(doc_id, lang, text)``, without the compression feature."""
     entropy = "CASE WHEN sum(n) > 0 THEN log2(sum(n)) - sum(n * log2(n)) / sum(n) END"
-    zero = ", ".join(f"coalesce({f}, 0.0::DOUBLE) AS {f}" for f in SQL_SYNTACTIC)
+    zero = ", ".join(f"round(coalesce({f}, 0.0::DOUBLE), 9) + 0.0::DOUBLE AS {f}" for f in SQL_SYNTACTIC)
     return f"""{tokens_cte(src, 20)},
 f_sent AS (SELECT doc_id, avg(c) AS avg_sent_len, stddev_pop(c) AS burstiness, avg(d) AS avg_dep_depth FROM
     (SELECT doc_id, sent_id, count(*) FILTER (WHERE NOT is_punct) AS c, max(depth) AS d FROM tok GROUP BY ALL) GROUP BY doc_id),
@@ -421,10 +421,11 @@ ties AS (SELECT feature, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT feature
 us AS (SELECT feature, count(*) FILTER (WHERE y = 0)::DOUBLE AS n1, count(*) FILTER (WHERE y = 1)::DOUBLE AS n2, sum(r) FILTER (WHERE y = 0) AS r1,
        avg(value) FILTER (WHERE y = 0) AS mh, avg(value) FILTER (WHERE y = 1) AS ma FROM ranks GROUP BY feature),
 u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM us JOIN ties USING (feature)),
-z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u),
+sg AS (SELECT *, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sigma FROM u),
+z AS (SELECT *, CASE WHEN sigma > 0 THEN (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sigma ELSE -9 END AS z FROM sg),
 tail AS (SELECT feature, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z + i * 0.004::DOUBLE, 2) / 2)) * 0.004::DOUBLE / 3 / sqrt(2 * pi()) * 2 AS p
          FROM z, range(0, 4001) t(i) GROUP BY feature),
-mwu AS (SELECT feature, round(mh, 4) AS mean_human, round(ma, 4) AS mean_ai, round(u, 1) AS u, least(p, 1.0::DOUBLE) AS p_value,
+mwu AS (SELECT feature, round(mh, 4) AS mean_human, round(ma, 4) AS mean_ai, round(u, 1) AS u, least(p, 1.0::DOUBLE) AS p_value, 
         round(abs(1 - 2 * u / (n1 * n2)), 3) AS effect, p < 0.05 / {n_features} AS significant FROM z JOIN tail USING (feature))"""
 
 
