@@ -209,13 +209,12 @@ def quality_gate(
     df: DataFrame, text: str = "text", min_words: int = 100, letter: str = CYRILLIC_LETTER, min_share: float = 50.0
 ) -> DataFrame:
     """Add ``accepted`` and ``reason`` (ok, short, script); too short wins over wrong script."""
-    words = F.size(T.whitespace_words(F.col(text)))
-    share = script_share(F.col(text), letter)
-    # A blank text has no share to pass with.
-    reason = F.when(words < min_words, "short").when((words == 0) | (share < min_share), "script").otherwise("ok")
-    return df.withColumn("reason", F.coalesce(reason, F.lit("short"))).withColumn(
-        "accepted", F.col("reason") == "ok"
+    source = F.coalesce(F.col(text), F.lit(""))
+    words = F.size(T.whitespace_words(source))
+    reason = (
+        F.when(words < min_words, "short").when(script_share(source, letter) < min_share, "script").otherwise("ok")
     )
+    return df.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok")
 
 
 def strip_echoed_title(text: Column, title: Column) -> Column:
