@@ -38,97 +38,101 @@ def pos_compression(tokens: DataFrame) -> DataFrame:
 
 
 def _counted_events(tokens: DataFrame) -> DataFrame:
-    """(doc_id, kind, key, n, ...): how often each sentence, lemma, tag, mark, gap, trigram occurs."""
+    """How often each sentence, lemma, mark, gap and trigram occurs: (doc_id, kind, key, tag, n, ...).
+
+    ``tag`` is the last tag of a trigram. The first two content tokens of a document have an
+    incomplete trigram, so that tags can be counted from the same rows.
+    """
     order = Window.partitionBy("doc_id").orderBy("pos")
-    content = ~F.col("is_punct")
-    comma = F.col("text") == ","
-    # Positions and tags of the two content tokens before, skipping punctuation.
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    content, comma = ~F.col("is_punct"), F.col("text") == ","
+    previous = lambda keep, value: F.last(F.when(keep, value), ignorenulls=True).over(before)
     numbered = tokens.withColumns(
         {
-            "_gap": F.when(comma, F.col("pos") - F.last(F.when(comma, F.col("pos")), ignorenulls=True).over(before)),
-            "_tag1": F.when(content, F.last(F.when(content, F.col("upos")), ignorenulls=True).over(before)),
+            "_gap": F.when(comma, F.col("pos") - previous(comma, F.col("pos"))),
+            # The tag one content token back, skipping punctuation.
+            "_tag1": F.when(content, previous(content, F.col("upos"))),
         }
     )
     # The tag two content tokens back is the "one back" of the token one back.
-    numbered = numbered.withColumn(
-        "_tag2", F.when(content, F.last(F.when(content, F.col("_tag1")), ignorenulls=True).over(before))
-    )
-    zero, one = F.lit(0), F.lit(1)
-
-    def event(kind, key, keep, plain=zero, passive=zero, depth=zero):
-        return F.when(
-            keep,
-            F.struct(
-                F.lit(kind).alias("kind"),
-                key.cast("string").alias("key"),
-                plain.cast("int").alias("a"),
-                passive.cast("int").alias("b"),
-                depth.cast("int").alias("depth"),
-            ),
-        )
+    numbered = numbered.withColumn("_tag2", F.when(content, previous(content, F.col("_tag1"))))
 
     verb = F.col("upos").isin("VERB", "AUX")
     passive = verb & (
-        F.coalesce(F.col("voice") == "Pass", F.lit(False)) | F.coalesce(F.col("dep").isin("nsubjpass", "auxpass"), F.lit(False))
+        F.coalesce(F.col("voice") == "Pass", F.lit(False))
+        | F.coalesce(F.col("dep").isin("nsubjpass", "auxpass"), F.lit(False))
     )
     complex_form = F.coalesce(F.col("verb_form").isin("Conv", "Part"), F.lit(False))
-    everything = F.lit(True)
-    trigram = F.concat_ws(" ", "_tag2", "_tag1", "upos")
+    flag = lambda c: c.cast("int")
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    def event(kind, key, tag=none, words=zero, forms=zero, passives=zero, verbs=zero, depth=zero):
+        return F.struct(
+            kind.alias("kind"), key.cast("string").alias("key"), tag.alias("tag"), words.alias("words"),
+            forms.alias("forms"), passives.alias("passives"), verbs.alias("verbs"), depth.alias("depth"),
+        )
+
+    trigram = F.when(F.col("_tag2").isNotNull(), F.concat_ws(" ", "_tag2", "_tag1", "upos"))
     events = F.array(
-        event("sentence", F.col("sent_id"), everything, content, depth=F.coalesce("depth", zero)),
-        event("form", zero, everything, complex_form, passive),
-        event("lemma", F.lower("lemma"), content),
-        event("tag", F.col("upos"), content),
-        event("mark", F.col("text"), ~content),
-        event("gap", F.col("_gap"), F.col("_gap").isNotNull()),
-        event("trigram", trigram, content & F.col("_tag2").isNotNull()),
+        event(
+            F.lit("sentence"), F.col("sent_id"), none, flag(content), flag(complex_form), flag(passive), flag(verb),
+            F.coalesce("depth", zero),
+        ),
+        event(
+            F.when(content, "lemma").otherwise("mark"), F.when(content, F.lower("lemma")).otherwise(F.col("text"))
+        ),
+        F.when(content, event(F.lit("trigram"), trigram, F.col("upos"))),
+        F.when(F.col("_gap").isNotNull(), event(F.lit("gap"), F.col("_gap"))),
     )
     exploded = numbered.select("doc_id", F.explode(events).alias("e")).where("e is not null")
-    exploded = exploded.select("doc_id", "e.*")
-    return exploded.groupBy("doc_id", "kind", "key").agg(
-        F.count(one).alias("n"),
-        F.sum("a").alias("a"),
-        F.sum("b").alias("b"),
-        F.max("depth").alias("depth"),
-    )
+    sums = [F.sum(c).alias(c) for c in ("words", "forms", "passives", "verbs")]
+    counted = exploded.select("doc_id", "e.*").groupBy("doc_id", "kind", "key", "tag")
+    return counted.agg(F.count(F.lit(1)).alias("n"), *sums, F.max("depth").alias("depth"))
 
 
 def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> DataFrame:
     """The features per document that has tokens. Pure function of the token relation."""
-    events = _counted_events(tokens)
-    n, key = F.col("n"), F.col("key")
-
-    def of(kind):
-        return F.col("kind") == kind
-
-    def total(kind, value=n):
-        return F.coalesce(F.sum(F.when(of(kind), value)), F.lit(0))
-
-    def n_log_n(kind):
-        return F.coalesce(F.sum(F.when(of(kind), n * F.log2(n.cast("double")))), F.lit(0.0))
-
-    gap = key.cast("double")
-    agg = events.groupBy("doc_id").agg(
-        F.avg(F.when(of("sentence"), F.col("a"))).alias("avg_sent_len"),
-        F.stddev_pop(F.when(of("sentence"), F.col("a"))).alias("burstiness"),
-        F.avg(F.when(of("sentence"), F.col("depth"))).alias("avg_dep_depth"),
-        total("form").alias("_tokens"),
-        total("form", F.col("a")).alias("_complex"),
-        total("form", F.col("b")).alias("_passive"),
-        total("lemma").alias("_content"),
-        F.count_if(of("lemma")).alias("_lemmas"),
-        F.count_if(of("lemma") & (n == 1)).alias("_hapax"),
-        total("mark").alias("_marks"),
-        n_log_n("mark").alias("_marks_nlogn"),
-        n_log_n("tag").alias("_tags_nlogn"),
-        total("tag", F.when(key == "NOUN", n)).alias("_nouns"),
-        total("tag", F.when(key == "VERB", n)).alias("_verbs"),
-        total("tag", F.when(key.isin("VERB", "AUX"), n)).alias("_verbal"),
-        F.count_if(of("trigram")).alias("_trigrams"),
-        total("gap").alias("_gaps"),
-        total("gap", n * gap).alias("_gap_sum"),
-        total("gap", n * gap * gap).alias("_gap_squares"),
+    n, gap = F.col("n"), F.col("key").cast("double")
+    # Per kind and, for trigrams, per tag: everything that looks at single keys.
+    kinds = _counted_events(tokens).groupBy("doc_id", "kind", "tag").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("keys"),
+        F.count("key").alias("full_keys"),
+        F.count_if(n == 1).alias("once"),
+        F.sum(n * F.log2(n.cast("double"))).alias("n_log_n"),
+        *[F.sum(c).alias(c) for c in ("forms", "passives", "verbs")],
+        F.avg("words").alias("mean_words"),
+        F.stddev_pop("words").alias("std_words"),
+        F.avg("depth").alias("mean_depth"),
+        F.sum(F.when(F.col("kind") == "gap", n * gap)).alias("gap_sum"),
+        F.sum(F.when(F.col("kind") == "gap", n * gap * gap)).alias("gap_squares"),
+    )
+
+    def of(kind, value):
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+
+    tag_n = F.when(F.col("kind") == "trigram", n)
+    agg = kinds.groupBy("doc_id").agg(
+        *[
+            F.max(F.when(F.col("kind") == "sentence", F.col(source))).alias(name)
+            for name, source in (("avg_sent_len", "mean_words"), ("burstiness", "std_words"), ("avg_dep_depth", "mean_depth"))
+        ],
+        of("sentence", n).alias("_tokens"),
+        of("sentence", F.col("forms")).alias("_forms"),
+        of("sentence", F.col("passives")).alias("_passives"),
+        of("sentence", F.col("verbs")).alias("_verbal"),
+        of("lemma", n).alias("_content"),
+        of("lemma", F.col("keys")).alias("_lemmas"),
+        of("lemma", F.col("once")).alias("_hapax"),
+        of("mark", n).alias("_marks"),
+        of("mark", F.col("n_log_n")).alias("_marks_n_log_n"),
+        F.coalesce(F.sum(tag_n * F.log2(tag_n.cast("double"))), F.lit(0.0)).alias("_tags_n_log_n"),
+        F.coalesce(F.sum(F.when(F.col("tag") == "NOUN", n)), F.lit(0)).alias("_nouns"),
+        F.coalesce(F.sum(F.when(F.col("tag") == "VERB", n)), F.lit(0)).alias("_verbs"),
+        of("trigram", F.col("full_keys")).alias("_trigrams"),
+        of("gap", n).alias("_gaps"),
+        of("gap", F.col("gap_sum")).alias("_gap_sum"),
+        of("gap", F.col("gap_squares")).alias("_gap_squares"),
     )
     mean_gap = F.col("_gap_sum") / F.col("_gaps")
     gap_std = F.sqrt(F.greatest(F.col("_gap_squares") / F.col("_gaps") - mean_gap * mean_gap, F.lit(0.0)))
@@ -136,17 +140,17 @@ def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> Da
         "doc_id",
         "avg_sent_len",
         "burstiness",
-        entropy_bits(F.col("_marks"), F.col("_marks_nlogn")).alias("punct_entropy"),
+        entropy_bits(F.col("_marks"), F.col("_marks_n_log_n")).alias("punct_entropy"),
         ratio(F.col("_marks"), F.col("_tokens")).alias("punct_density"),
         "avg_dep_depth",
         (F.col("_nouns") / (F.col("_verbs") + F.lit(1e-9))).alias("nv_ratio"),
         ratio(F.col("_lemmas"), F.col("_content")).alias("ttr"),
         ratio(F.col("_hapax"), F.col("_content")).alias("hlr"),
-        ratio(F.col("_complex"), F.col("_tokens")).alias("complexity_ratio"),
-        ratio(F.col("_passive"), F.col("_verbal")).alias("passive_ratio"),
+        ratio(F.col("_forms"), F.col("_tokens")).alias("complexity_ratio"),
+        ratio(F.col("_passives"), F.col("_verbal")).alias("passive_ratio"),
         F.when(F.col("_gaps") > 0, gap_std / mean_gap).otherwise(F.lit(0.0)).alias("comma_cv"),
         ratio(F.col("_trigrams"), F.col("_content")).alias("unique_trigrams_per_tok"),
-        entropy_bits(F.col("_content"), F.col("_tags_nlogn")).alias("pos_entropy"),
+        entropy_bits(F.col("_content"), F.col("_tags_n_log_n")).alias("pos_entropy"),
         F.col("_tokens").cast("double").alias("total_tokens"),
     )
     out = out.select("doc_id", *[F.round(f, FEATURE_DIGITS).alias(f) for f in out.columns[1:]])

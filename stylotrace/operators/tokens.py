@@ -113,24 +113,21 @@ def heads_and_depths(tokens: DataFrame) -> DataFrame:
     pos, content = F.col("pos"), F.col("_content")
 
     out = tokens.withColumn("_content", F.col("upos").isin(lx.CONTENT_POS))
-    out = out.withColumn(
-        "_root",
-        F.coalesce(
-            F.min(F.when(F.col("upos") == "VERB", pos)).over(whole),
-            F.min(F.when(content, pos)).over(whole),
-            F.min(pos).over(whole),
-        ),
-    )
+    # One pass over the sorted sentence for everything that only looks at the tokens themselves.
     out = out.withColumns(
         {
-            "_is_root": pos == F.col("_root"),
+            "_root": F.coalesce(
+                F.min(F.when(F.col("upos") == "VERB", pos)).over(whole),
+                F.min(F.when(content, pos)).over(whole),
+                F.min(pos).over(whole),
+            ),
             "_prev_content": F.last(F.when(content, pos), ignorenulls=True).over(before),
             "_after_comma": F.coalesce(F.lag(F.col("text") == ",").over(forward), F.lit(False)),
             "_seen": F.sum(content.cast("int")).over(upto),
             "_be_near": F.coalesce(F.lag("is_be", 1).over(forward), F.lit(False))
             | F.coalesce(F.lag("is_be", 2).over(forward), F.lit(False)),
         }
-    )
+    ).withColumn("_is_root", pos == F.col("_root"))
     # A chain of content words restarts at the root and at every content word that hangs on the root.
     restarts = content & (F.col("_is_root") | F.col("_prev_content").isNull() | F.col("_after_comma"))
     level_at_restart = F.when(restarts, F.col("_seen") - F.when(F.col("_is_root"), 0).otherwise(1))
