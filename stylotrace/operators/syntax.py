@@ -15,8 +15,10 @@ from stylotrace.functions.numbers import entropy_bits, ratio
 from stylotrace.operators.tokens import token_relation
 
 MIN_CHARS = 20
-# Sums of logarithms depend on their order in the last digits; ranks need equal documents to be equal.
+# Sums of logarithms and squares depend on their order in the last digits, but ranks need equal
+# documents to be equal. The other features are single divisions of whole numbers.
 FEATURE_DIGITS = 9
+SUMMED_FEATURES = ["burstiness", "punct_entropy", "comma_cv", "pos_entropy"]
 
 
 @F.pandas_udf(DoubleType())
@@ -153,7 +155,7 @@ def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> Da
         entropy_bits(F.col("_content"), F.col("_tags_n_log_n")).alias("pos_entropy"),
         F.col("_tokens").cast("double").alias("total_tokens"),
     )
-    out = out.select("doc_id", *[F.round(f, FEATURE_DIGITS).alias(f) for f in out.columns[1:]])
+    out = out.withColumns({f: F.round(f, FEATURE_DIGITS) for f in SUMMED_FEATURES})
     if with_compression:
         out = out.join(pos_compression(tokens), "doc_id", "left")
     return out

@@ -12,6 +12,7 @@ from stylotrace.fixed_values import (
     SURFACE_FEATURES_V1,
 )
 from stylotrace.operators import lexicon as lx
+from stylotrace.operators.syntax import SUMMED_FEATURES
 from stylotrace.plans.queries import SCENARIOS, SQL_GROUPS, SQL_RULES, SQL_STABILITY, SQL_SYNTACTIC, STOP_WORDS
 
 ORACLE_SQL: dict[str, str] = {}
@@ -328,7 +329,8 @@ SELECT doc_id, sent_id, max(depth) AS max_depth, CAST(sum(depth) AS BIGINT) AS d
 def syntactic_cte(src: str, name: str = "syn") -> str:
     """Features ``syn(doc_id, ...)`` of ``src(doc_id, lang, text)``, without the compression feature."""
     entropy = "CASE WHEN sum(n) > 0 THEN log2(sum(n)) - sum(n * log2(n)) / sum(n) END"
-    zero = ", ".join(f"round(coalesce({f}, 0.0::DOUBLE), 9) + 0.0::DOUBLE AS {f}" for f in SQL_SYNTACTIC)
+    value = lambda f: f"round({f}, 9) + 0.0::DOUBLE" if f in SUMMED_FEATURES else f
+    zero = ", ".join(f"coalesce({value(f)}, 0.0::DOUBLE) AS {f}" for f in SQL_SYNTACTIC)
     return f"""{tokens_cte(src, 20)},
 f_sent AS (SELECT doc_id, avg(c) AS avg_sent_len, stddev_pop(c) AS burstiness, avg(d) AS avg_dep_depth FROM
     (SELECT doc_id, sent_id, count(*) FILTER (WHERE NOT is_punct) AS c, max(depth) AS d FROM tok GROUP BY ALL) GROUP BY doc_id),
@@ -352,7 +354,7 @@ f_tri AS (SELECT doc_id, count(DISTINCT t)::DOUBLE / count(*) AS unique_trigrams
 
 
 ORACLE_SQL["syntactic_features"] = (
-    f"WITH {syntactic_cte('documents')} SELECT doc_id, " + ", ".join(r6(f, f) for f in SQL_SYNTACTIC) + " FROM syn"
+    f"WITH {syntactic_cte('documents')} SELECT doc_id, {cols(SQL_SYNTACTIC)} FROM syn"
 )
 
 # TF-IDF ------------------------------------------------------------------------------------------

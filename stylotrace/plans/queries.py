@@ -364,8 +364,7 @@ def dependency_depth(spark, sf):
 
 @query
 def syntactic_features(spark, sf):
-    found = syntax.syntactic_features(table(spark, sf, "documents"), with_compression=False)
-    return rounded(found, *SQL_SYNTACTIC)
+    return syntax.syntactic_features(table(spark, sf, "documents"), with_compression=False)
 
 
 @query
