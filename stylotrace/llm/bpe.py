@@ -15,7 +15,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ CACHED_WORDS = 200_000  # per Python worker
 CACHED_LENGTH = 48
 PIECE = 1 << 20  # characters walked at a time
 BATCH_IDS = 4 << 20  # ids of one outgoing batch
+NONE = 1 << 60
 
 # The white space of the format, and what Unicode 16 has beyond the tables of this Python.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,6 +75,8 @@ class BpeModel:
     tokens: tuple[str, ...]
     merges: tuple[tuple[str, str], ...]
     special: tuple[tuple[str, int], ...]
+    letters: str
+    numbers: str
 
 
 def load_model(path: str) -> BpeModel:
@@ -95,7 +98,8 @@ def load_model(path: str) -> BpeModel:
     if missing:
         raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    return BpeModel(tuple(by_id), tuple(merges), tuple(special.items()))
+    classes = _ranges("L") + NEW_LETTERS, _ranges("N") + NEW_NUMBERS
+    return BpeModel(tuple(by_id), tuple(merges), tuple(special.items()), *classes)
 
 
 def byte_symbols() -> list[str]:
@@ -105,37 +109,67 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class _Known(dict):
+    """Packed ids of the strings met so far, bounded."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        packed = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[key] = packed
+        return packed
+
+
+_latest: list = [None, None]
+
+
+def encoder_of(model: BpeModel) -> Encoder:
+    """The encoder of this Python worker; workers serve many tasks."""
+    if _latest[0] is not model:
+        _latest[:] = model, Encoder(model)
+    return _latest[1]
+
+
 class Encoder:
-    """Encodes whole texts; one per Python worker."""
+    """Encodes whole texts."""
 
     def __init__(self, model: BpeModel) -> None:
         ids = {t: i for i, t in enumerate(model.tokens)}
         symbols = byte_symbols()
         self.inner = [ids[c] for c in symbols]
         self.final = [ids[c + END] for c in symbols]
-        self.merged = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model.merges)}
+        self.merged = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(model.merges)}
+        self.result = [ids[a + b] for a, b in model.merges]
         names = {t for t, _ in model.special}
-        self.joinable = set()
+        joinable = set()
         for token in model.tokens:
             if token and token not in names:
                 at = [ids[c] for c in token.removesuffix(END)]
                 if token.endswith(END):
                     at[-1] = ids[token.removesuffix(END)[-1] + END]
-                self.joinable.update(zip(at, at[1:]))
+                joinable.update(a << 32 | b for a, b in zip(at, at[1:]))
+        # The rank of the merge of two byte symbols, NONE if only other merges bring them together. Pairs
+        # without an entry stand in no token: a certain cut.
+        self.pairs = {p: self.merged.get(p, NONE) for p in joinable}
         self.special = {t: np.int32(i).tobytes() for t, i in model.special}
         self.cut_special = re.compile(f"({'|'.join(map(re.escape, self.special))})") if self.special else None
-        letters, numbers = _ranges("L") + NEW_LETTERS, _ranges("N") + NEW_NUMBERS
-        short = r"'s|'t|'re|'ve|'m|'ll|'d|"
-        self.words = re.compile(f"{short}[{letters}]+|[{numbers}]|[^{WHITE_SPACE}{letters}{numbers}]+")
-        self.ascii_words = re.compile(short + r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-        self.space = re.compile(f"[{WHITE_SPACE}]")
-        self.cache: dict[str, bytes] = {}
+        letters, numbers, short = model.letters, model.numbers, "|'(?:s|t|re|ve|m|ll|d)|"
+        self.words = re.compile(f"[{letters}]+{short}[{numbers}]|[^{WHITE_SPACE}{letters}{numbers}]+")
+        self.ascii_words = re.compile(f"[a-z]+{short}[0-9]|[^\t-\r a-z0-9]+")
+        self.newer = re.compile(f"[{''.join(map(chr, NEW_LOWER))}]")
+        self.space = re.compile(f"[{WHITE_SPACE}]+")
+        self.runs = _Known(self._run)
+        self.known_words = _Known(lambda word: np.asarray(self.encode_word(word), np.int32).tobytes())
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as packed 32-bit integers."""
         if not text:
             return b""
-        if self.cut_special is None:
+        if not any(t in text for t in self.special):
             return self._plain(text)
         parts = self.cut_special.split(text)
         return b"".join(self.special[p] if k % 2 else self._plain(p) for k, p in enumerate(parts) if p)
@@ -147,56 +181,53 @@ class Encoder:
             if stop < len(text):
                 stop = text.find(" ", stop)
                 stop = len(text) if stop < 0 else stop
-            out.append(self._piece(text[start:stop]))
+            piece = text[start:stop]
+            # Python counts four control characters as white space that the format does not.
+            runs = self.space.split(piece) if any(c in piece for c in "\x1c\x1d\x1e\x1f") else piece.split()
+            out.append(b"".join(map(self.runs.__getitem__, runs)))
             start = stop
         return b"".join(out)
 
-    def _piece(self, text: str) -> bytes:
+    def _run(self, text: str) -> bytes:
+        """Ids of text without white space."""
         if text.isascii():
             found = self.ascii_words.findall(text.lower())
         else:
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
             # Letters are lowered one by one, so a final sigma has no form of its own.
-            text = text.replace("Σ", "σ").lower().translate(NEW_LOWER)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if self.newer.search(text):
+                text = text.translate(NEW_LOWER)
             found = self.words.findall(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, found))
-        except KeyError:
-            return b"".join(map(self._word, found))
-
-    def _word(self, word: str) -> bytes:
-        known = self.cache.get(word)
-        if known is None:
-            known = np.asarray(self._encode_word(word), np.int32).tobytes()
-            if len(word) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[word] = known
-        return known
-
-    def _encode_word(self, word: str) -> list[int]:
+        return b"".join(map(self.known_words.__getitem__, found))
+
+    def encode_word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.final[raw[-1]]
-        out, start = [], 0
+        out, start, ranks, pairs = [], 0, [], self.pairs
         for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in self.joinable:
-                out += self._merge(symbols[start:i])
-                start = i
-        return out + self._merge(symbols[start:])
-
-    def _merge(self, fragment: list[int]) -> list[int]:
+            rank = pairs.get(symbols[i - 1] << 32 | symbols[i])
+            if rank is None:
+                out += self._merge(symbols[start:i], ranks)
+                start, ranks = i, []
+            else:
+                ranks.append(rank)
+        return out + self._merge(symbols[start:], ranks)
+
+    def _merge(self, ids: list[int], ranks: list[int]) -> list[int]:
         """Apply the lowest-ranked merge, leftmost first, until none is left."""
-        if len(fragment) > 40:
-            return self._merge_long(fragment)
-        merged, none = self.merged, (1 << 60, 0)
-        while len(fragment) > 1:
-            (_, new), at = min((merged.get(p, none), i) for i, p in enumerate(zip(fragment, fragment[1:])))
-            if (fragment[at], fragment[at + 1]) not in merged:
-                break
-            fragment[at : at + 2] = [new]
-        return fragment
+        if len(ids) > 100:
+            return self._merge_long(ids)
+        merged = self.merged
+        while ranks and (rank := min(ranks)) != NONE:
+            at = ranks.index(rank)
+            ids[at : at + 2] = [self.result[rank]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = merged.get(ids[at - 1] << 32 | ids[at], NONE)
+            if at < len(ranks):
+                ranks[at] = merged.get(ids[at] << 32 | ids[at + 1], NONE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list: n log n for fragments of any length."""
@@ -205,16 +236,16 @@ class Encoder:
         heap = []
 
         def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (m := self.merged.get((ids[a], ids[b]))):
-                heapq.heappush(heap, (m[0], a, b, ids[a], ids[b], m[1]))
+            if a >= 0 and b >= 0 and (rank := self.merged.get(ids[a] << 32 | ids[b])) is not None:
+                heapq.heappush(heap, (rank, a, b, ids[a], ids[b]))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while heap:
-            _, a, b, left, right, new = heapq.heappop(heap)
+            rank, a, b, left, right = heapq.heappop(heap)
             if ids[a] != left or ids[b] != right or after[a] != b:
                 continue
-            ids[a], ids[b] = new, -1
+            ids[a], ids[b] = self.result[rank], -1
             after[a] = after[b]
             if after[b] >= 0:
                 before[after[b]] = a
@@ -242,7 +273,7 @@ def encode(df: DataFrame, model: BpeModel, text: str = "text", out: str = "token
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY_LIMIT bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             start, packed, total = 0, [], 0
             for i, value in enumerate(batch.column(text)):

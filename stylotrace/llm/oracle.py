@@ -1,3 +1,58 @@
 """DuckDB counterparts of the queries that plain SQL can express."""
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op10_exact_dedup"] = r"""
+WITH plain AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_points,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER best = 1 AS kept, text_sha256
+FROM plain
+WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id NULLS LAST)
+"""
+
+
+def _moment(fraction: str, knots: tuple) -> str:
+    """SQL for the inverse of a schedule's integral, segment by segment."""
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False)]
+    cases, before = [], 0.0
+    for (t0, w0), (t1, w1), area in zip(knots, knots[1:], areas, strict=False):
+        y, slope = f"greatest({fraction} * {sum(areas)} - {before}, 0)", (w1 - w0) / (t1 - t0)
+        root = f"sqrt(greatest({w0 * w0} + 2 * {slope} * {y}, 0))"
+        before += area
+        cases.append(f"WHEN {fraction} * {sum(areas)} <= {before} THEN least({t0} + 2 * {y} / ({w0} + {root}), {t1})")
+    return f"CASE {' '.join(cases)} ELSE {knots[-1][0]} END"
+
+
+_SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.6, 0.75), (1.0, 2.125)))
+_MOMENTS = " ".join(f"WHEN {k} THEN {_moment('(middle / target)', s)}" for k, s in enumerate(_SCHEDULES))
+
+ORACLE_SQL["op8_curriculum"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(concat_ws(':', 7, doc_id)) AS h
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
+  FROM sized GROUP BY source),
+weighed AS (SELECT *, 2.0::DOUBLE * source_size AS ceiling, [5.0::DOUBLE, 2, 1][nth % 3 + 1] AS weight FROM sources),
+-- The level per unit of weight if the sources that fill up first are capped: the smallest that no rest exceeds.
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY ceiling / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, nth, least(ceiling, weight * (SELECT min(level) FROM levels WHERE level <= ceiling / weight)) AS target
+  FROM weighed),
+placed AS (
+  SELECT doc_id, size, source_size, target, nth,
+         sum(size) OVER (PARTITION BY sized.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * ((middle <= target)::INT + (middle + source_size <= target)::INT) AS BIGINT) AS taken,
+       round(CASE WHEN middle <= target THEN CASE nth % 3 {_MOMENTS} END END, 6) AS position
+FROM placed
+"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stylotrace.llm import bpe
+from stylotrace.llm import bpe, curriculum, exact
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +29,17 @@ def op1_bpe(spark, sf_dir):
     model = bpe.load_model(WORD_BPE)
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return bpe.digests(bpe.decode(coded.drop("text"), model))
+
+
+@query
+def op10_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.exact_dedup(docs, exact.half_of_ids()).drop("n_points")
+
+
+@query
+def op8_curriculum(spark, sf_dir):
+    planned = curriculum.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    first = F.round(F.array_min("positions"), 6).alias("position")
+    rows = planned.select("doc_id", "size", "source_size", "target", "taken", first)
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
