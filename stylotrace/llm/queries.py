@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylotrace.llm import bpe, curriculum, exact
+from stylotrace.llm import bpe, curriculum, exact, jaccard, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,14 @@ def op8_curriculum(spark, sf_dir):
     first = F.round(F.array_min("positions"), 6).alias("position")
     rows = planned.select("doc_id", "size", "source_size", "target", "taken", first)
     return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+@query
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_near_copies(spark, sf_dir):
+    return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -24,3 +24,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 def without_blanks(text: Column) -> Column:
     """The text without the six ASCII blanks; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+
+
+FEW_ROWS = 1 << 19
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows are counted to be few; else as it is, for a shuffled join."""
+    df = stored(df, "few")
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
