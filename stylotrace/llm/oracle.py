@@ -38,14 +38,14 @@ sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
   FROM sized GROUP BY source),
 weighed AS (SELECT *, 2.0::DOUBLE * source_size AS ceiling, [5.0::DOUBLE, 2, 1][nth % 3 + 1] AS weight FROM sources),
--- The level per unit of weight if the sources that fill up first are capped: the smallest that no rest exceeds.
+-- The level per unit of weight if the sources that fill up before are capped; the first that the next one holds.
 levels AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER before, 0))
+  SELECT *, row_number() OVER (ORDER BY ceiling / weight, nth) AS place, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(ceiling) OVER before, 0))
             / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM weighed
   WINDOW before AS (ORDER BY ceiling / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, nth, least(ceiling, weight * (SELECT min(level) FROM levels WHERE level <= ceiling / weight)) AS target
+  SELECT source, source_size, nth, least(ceiling, weight * (SELECT arg_min(level, place) FROM levels WHERE level <= ceiling / weight)) AS target
   FROM weighed),
 placed AS (
   SELECT doc_id, size, source_size, target, nth,
