@@ -56,3 +56,24 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        round(CASE WHEN middle <= target THEN CASE nth % 3 {_MOMENTS} END END, 6) AS position
 FROM placed
 """
+
+ORACLE_SQL["op2_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+-- Each backslash and each control string costs one more character; a turn opens a block or stands after [NEXT].
+sized AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g'))
+            + len(regexp_extract_all(text, '</?s>|\[/?INST\]|\[NEXT\]')) AS chars,
+         length(role) + length(regexp_replace(role, '[^\\]', '', 'g'))
+            + len(regexp_extract_all(role, '</?s>|\[/?INST\]|\[NEXT\]')) + 20 AS heading,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS goes_on
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + CASE WHEN goes_on THEN 6 ELSE heading END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylotrace.llm import bpe, curriculum, exact, jaccard, quality
+from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,15 @@ def op7_quality(spark, sf_dir):
 @query
 def op4_near_copies(spark, sf_dir):
     return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(chat.format_chats(turns.unionByName(tricky)))
