@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, quality
+from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,9 @@ def op2_chat(spark, sf_dir):
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return chat.digests(chat.format_chats(turns.unionByName(tricky)))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
