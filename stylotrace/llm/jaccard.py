@@ -112,13 +112,15 @@ class Sets:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams, 9), dtype=np.uint64)])
         self.node = mix(sums[self.first + n] - sums[self.first] + n.astype(np.uint64), 10).view(np.int64)
 
-    def prefix(self, key: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Text numbers and tokens of the prefixes under the order of ``key``."""
+    def prefix_length(self, threshold: int) -> np.ndarray:
+        return self.n + (-threshold * self.n) // 100 + 1
+
+    def prefix(self, key: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text numbers, tokens and places of the prefixes under the order of ``key``."""
         order = np.lexsort((key, self.text))
-        n = self.n[self.text]
         place = np.arange(len(order)) - self.first[self.text]
-        inside = place < n + (-threshold * n) // 100 + 1
-        return self.text[inside], self.grams[order][inside]
+        inside = place < self.prefix_length(threshold)[self.text]
+        return self.text[inside], self.grams[order][inside], place[inside]
 
 
 def sets_of(column: pa.Array, width: int) -> Iterator[Sets]:
@@ -157,7 +159,7 @@ def _signature(sets: Sets, threshold: int) -> list[bytes]:
     parts.ravel()[:] = np.minimum(counts, 65535)
     orders = []
     for seed in (12, 13):
-        text, token = sets.prefix(mix(sets.grams, seed), threshold)
+        text, token, _ = sets.prefix(mix(sets.grams, seed), threshold)
         marks = (mix(token, seed + 2) >> np.uint64(48)).astype(np.uint16)
         orders.append(np.split(marks, np.cumsum(np.bincount(text, minlength=len(sets.n)))[:-1]))
     return [parts[i].tobytes() + orders[0][i].tobytes() + orders[1][i].tobytes() for i in range(len(sets.n))]
@@ -179,42 +181,55 @@ def _is_low(grams: np.ndarray) -> np.ndarray:
     return mix(grams, 1) < np.uint64(int(LOW * (1 << 64)))
 
 
-def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
-    """Tokens of the low part that more than FREQUENT documents hold, counted over all documents, sorted.
+def frequent_tokens(docs: DataFrame, width: int, threshold: int) -> np.ndarray:
+    """Tokens to be ordered last, sorted: those that more than FREQUENT documents hold.
 
-    If there are more than FREQUENT_LIMIT, the bound is doubled until they fit; the order stays a total order of
-    all tokens whatever the bound, so results do not depend on it.
+    Prefixes mostly lie in the low part of the token space, so tokens are counted there first, over all documents.
+    Prefixes that reach beyond, as too many of their low tokens are frequent, have their other tokens counted in
+    a second pass. If there are more than FREQUENT_LIMIT frequent tokens, the bound is doubled until they fit. The
+    order is a total order of all tokens whatever is frequent, so results do not depend on it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sets in sets_of(batch.column("text"), width):
-                token, count = np.unique(sets.grams[_is_low(sets.grams)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "count"])
+    def counts(known: np.ndarray | None) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(known)  # None, or at most FREQUENT_LIMIT numbers
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for sets in sets_of(batch.column("text"), width):
+                    wanted = _is_low(sets.grams)
+                    if shared.value is not None:
+                        rare = np.bincount(sets.text[wanted & ~_known(sets.grams, shared.value)], minlength=len(sets.n))
+                        wanted = ~wanted & (rare < sets.prefix_length(threshold))[sets.text]
+                    token, count = np.unique(sets.grams[wanted], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "count"])
 
-    counted = docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("n"))
-    counted = stored(counted.where(F.col("n") > FREQUENT), "frequent")
-    bound = FREQUENT
-    while (n := counted.where(F.col("n") > bound).count()) > FREQUENT_LIMIT:
-        bound *= 2
-    found = counted.where(F.col("n") > bound).select("token").toPandas()["token"].to_numpy(np.int64)
-    assert len(found) == n
-    return np.sort(found.view(np.uint64))
+        rows = docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("n"))
+        return stored(rows.where(F.col("n") > FREQUENT), "frequent")
+
+    def largest(counted: DataFrame) -> np.ndarray:
+        bound = FREQUENT
+        while counted.where(F.col("n") > bound).count() > FREQUENT_LIMIT // 2:
+            bound *= 2
+        found = counted.where(F.col("n") > bound).select("token").toPandas()["token"]
+        return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+    low = largest(counts(None))
+    return np.sort(np.concatenate([low, largest(counts(low))]))
+
+
+def _known(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(grams), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
 
 
 def _order_a(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Rare tokens of the low part first, then the high part, then frequent tokens; inside each by hash."""
-    place = mix(grams, 1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        known = frequent[at] == grams
-    else:
-        known = np.zeros(len(grams), bool)
-    return (place >> np.uint64(1)) | (known.astype(np.uint64) << np.uint64(63))
+    return (mix(grams, 1) >> np.uint64(1)) | (_known(grams, frequent).astype(np.uint64) << np.uint64(63))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int) -> DataFrame:
-    """(token, node, n): the prefixes under order A. Copies inside one group of texts come once."""
+    """(token, node, n, rest): the prefixes under order A; ``rest`` tokens follow. Copies inside one group of texts come once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_LIMIT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +237,15 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int)
             seen: set[int] = set()  # at most the rows of a batch
             for sets in sets_of(batch.column("text"), width):
                 fresh = np.array([not (v in seen or seen.add(v)) for v in sets.node.tolist()], bool)
-                text, token = sets.prefix(_order_a(sets.grams, shared.value), threshold)
-                text, token = text[fresh[text]], token[fresh[text]]
-                columns = [pa.array(token.view(np.int64)), pa.array(sets.node[text]), pa.array(sets.n[text].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
+                text, token, place = sets.prefix(_order_a(sets.grams, shared.value), threshold)
+                keep = fresh[text]
+                text, token, place = text[keep], token[keep], place[keep]
+                n = sets.n[text].astype(np.int32)
+                columns = [pa.array(token.view(np.int64)), pa.array(sets.node[text]), pa.array(n)]
+                columns.append(pa.array((n - place - 1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int")
+    return docs.select("text").mapInArrow(run, "token long, node long, n int, rest int")
 
 
 def _buckets(rows: DataFrame, *keys: str) -> DataFrame:
@@ -238,6 +256,7 @@ def _buckets(rows: DataFrame, *keys: str) -> DataFrame:
         *keys,
         "node",
         "n",
+        "rest",
         F.first("node").over(whole).alias("center"),
         F.last("node").over(whole).alias("_last"),
         F.lag("node").over(window).alias("_before"),
@@ -329,10 +348,10 @@ def near_copies(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFra
     rows = _documents(docs, width, threshold)
     reps = rows.where("n > 0").groupBy("node").agg(F.min("row_no").alias("row_no"))
     nodes = stored(rows.join(few(reps.select("row_no")), "row_no").select("node", "n", "signature", "doc_id"), "nodes")
-    shared = stored(_buckets(prefixes(docs, frequent_tokens(docs, width), width, threshold), "token").drop("center"), "shared")
+    shared = stored(_buckets(prefixes(docs, frequent_tokens(docs, width, threshold), width, threshold), "token").drop("center"), "shared")
     # Compatible sizes fall in the same or in neighbouring ranges, so each node stands in two.
     size_range = F.floor(F.log(F.col("n")) / math.log(100 / threshold) + 1e-9)
-    sized = shared.select("token", "node", "n", F.explode(F.array(size_range, size_range + 1)).alias("sizes"))
+    sized = shared.select("token", "node", "n", "rest", F.explode(F.array(size_range, size_range + 1)).alias("sizes"))
     buckets = stored(_buckets(sized, "token", "sizes"), "buckets")
 
     first = buckets.where("node != center").groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a"))
@@ -341,11 +360,19 @@ def near_copies(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFra
     at = buckets.join(few(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = Window.partitionBy("token", "sizes")
     at = at.withColumn("_lo", F.min("component").over(several)).withColumn("_hi", F.max("component").over(several))
-    at = stored(at.where("_lo != _hi").select("token", "sizes", "node", "n", "component"), "open")
-    left = at.select("token", "sizes", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = at.select("token", "sizes", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    sizes_fit = (100 * F.col("na") >= threshold * F.col("nb")) & (100 * F.col("nb") >= threshold * F.col("na"))
-    rest = left.join(right, ["token", "sizes"]).where("a < b AND ca != cb").where(sizes_fit).select("a", "b").distinct()
+    own = size_range.alias("own")
+    at = stored(at.where("_lo != _hi").select("token", "sizes", "node", "n", "rest", "component", own), "open")
+    side = lambda x: at.select("token", "sizes", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "rest", "component", "own")])
+    most = F.least("a_rest", "b_rest") + 1  # shared tokens, if this is the first that both hold
+    fits = (
+        (F.col("a_node") < F.col("b_node"))
+        & (F.col("a_component") != F.col("b_component"))
+        & (F.col("sizes") == F.greatest("a_own", "b_own"))  # the one range in which a pair is taken
+        & (100 * F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n"))
+        & _reaches(most, F.col("a_n"), F.col("b_n"), threshold)
+    )
+    rest = side("a").join(side("b"), ["token", "sizes"]).where(fits)
+    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     links = links.unionByName(_links(rest, docs, nodes, width, threshold))
 
     known = components(links)
