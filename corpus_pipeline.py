@@ -4,32 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stylotrace.llm import bpe
+from stylotrace.llm import bpe, curriculum, exact, jaccard, quality
 from stylotrace.llm.queries import WORD_BPE
 from stylotrace.session import shared_dir
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact.drop_copies(docs, exact.half_of_ids())
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: shingles of five words, similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, width=5, threshold=80)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix of sources reads them, in the order of training."""
+    return curriculum.mixed(docs)
+
+
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of their decoded text."""
+    """Number of tokens of every document, with the digests of the ids and of their decoded text."""
     model = bpe.load_model(WORD_BPE)
     return bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), model).drop("text"), model))
 
 
 STAGES = [
+    ("quality", good_documents),
+    ("exact_dedup", without_copies),
+    ("near_copies", without_near_copies),
+    ("mix", mixed_documents),
     ("bpe", encode_documents),
 ]
 
-# Token ids cannot be computed in SQL; tests hold the stages against brute force.
+# Token ids and the quality model cannot be computed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = shared_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark, 'pipeline')}/{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs
