@@ -77,3 +77,30 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars + CASE WHEN goes_on THEN 6 ELSE heading END) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+ORACLE_SQL["op9_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, text FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
+filled AS (
+  SELECT doc_id, pos, trim(line, E' \t\x0b\x0c\r') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place
+  FROM lines WHERE trim(line, E' \t\x0b\x0c\r') <> ''),
+wins AS (
+  SELECT doc_id, place, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c
+  FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+later AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS nth FROM wins WHERE c IS NOT NULL)
+  WHERE nth > 1),
+covered AS (SELECT DISTINCT doc_id, place + k AS place FROM later, (VALUES (0), (1), (2)) v(k)),
+islands AS (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM covered),
+runs AS (
+  SELECT i.doc_id, island, min(f.pos) AS start, max(f.pos) + 1 AS stop
+  FROM islands i JOIN filled f ON f.doc_id = i.doc_id AND f.place = i.place GROUP BY i.doc_id, island),
+left_over AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM lines l
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = l.doc_id AND l.pos >= r.start AND l.pos < r.stop) GROUP BY l.doc_id),
+counts AS (SELECT doc_id, count(*) AS n_runs, CAST(sum(stop - start) AS BIGINT) AS lines_removed FROM runs GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_runs, 0) AS n_runs, coalesce(lines_removed, 0) AS lines_removed,
+       sha256(coalesce(left_over.text, '')) AS text_sha256
+FROM split s LEFT JOIN counts USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, quality, toxicity
+from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, kdshard, linededup, quality, toxicity, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,22 @@ def op2_chat(spark, sf_dir):
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_vptree(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op5_kd_shards(spark, sf_dir):
+    dealt = kdshard.kd_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), shards=40)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
