@@ -69,8 +69,9 @@ class Standardiser:
 
     params: dict[str, tuple[float, float]]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(s) for f, (m, s) in self.params.items()})
+    def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """Scaled columns behind ``prefix``; without one they replace their sources."""
+        return df.withColumns({prefix + f: (F.col(f) - F.lit(m)) / F.lit(s) for f, (m, s) in self.params.items()})
 
 
 def fit_standardiser(train: DataFrame, features: Sequence[str]) -> Standardiser:
@@ -120,18 +121,48 @@ FEATURE_COLUMNS = {
 }
 
 
+SCALED = "scaled__"
+
+
+def family_columns(kind: str) -> list[str]:
+    """Names of a family's columns with the family in front: families share names but not definitions."""
+    return [f"{kind}__{f}" for f in FEATURE_COLUMNS[kind]]
+
+
+def _holds(df: DataFrame, kind: str) -> bool:
+    """Whether the plain names in ``df`` are this family's: the first of the three that is there in full owns them."""
+    owner = next((k for k, names in FEATURE_COLUMNS.items() if set(names) <= set(df.columns)), None)
+    return owner == kind
+
+
+def family_features(df: DataFrame, kind: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``family_columns(kind)`` with NaN and infinities as 0; other columns stay as they are.
+
+    Columns of that name are taken as they are; else the plain columns, if they are this family's; else the
+    features are computed from the text.
+    """
+    names, columns = FEATURE_COLUMNS[kind], family_columns(kind)
+    if set(columns) <= set(df.columns):
+        return df
+    if _holds(df, kind):
+        return df.withColumns({c: sanitise(F.col(f)) for c, f in zip(columns, names, strict=True)})
+    if kind == "surface":
+        df = surface_features(df, text, f"{kind}__")
+    elif kind == "surface_v1":
+        df = surface_features_v1(df, text, f"{kind}__")
+    else:
+        lang = "lang" if "lang" in df.columns else None
+        found = syntactic_features(df, id_col, text, lang).select(id_col, *names)
+        df = df.join(found.withColumnsRenamed(dict(zip(names, columns, strict=True))), id_col)
+    return df.withColumns({c: sanitise(F.col(c)) for c in columns})
+
+
 def numeric_features(df: DataFrame, kind: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add the named feature columns, unless they are there already, with NaN and infinities as 0."""
-    names = FEATURE_COLUMNS[kind]
-    if not set(names) <= set(df.columns):
-        if kind == "surface":
-            df = surface_features(df, text)
-        elif kind == "surface_v1":
-            df = surface_features_v1(df, text)
-        else:
-            lang = "lang" if "lang" in df.columns else None
-            df = df.join(syntactic_features(df, id_col, text, lang), id_col)
-    return df.withColumns({f: sanitise(F.col(f)) for f in names})
+    """``family_features`` and the same under plain names; plain columns of another family stay as they are."""
+    own, taken = _holds(df, kind), set(df.columns)
+    df = family_features(df, kind, id_col, text)
+    pairs = zip(FEATURE_COLUMNS[kind], family_columns(kind), strict=True)
+    return df.withColumns({f: F.col(c) for f, c in pairs if own or f not in taken})
 
 
 @dataclass
@@ -204,8 +235,8 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
 def _featurise(df: DataFrame, spec: DetectorSpec, tfidf: TfidfModel | None, scaler: Standardiser | None) -> DataFrame:
     if tfidf is not None:
         return tfidf.vectors(df, out="features")
-    wide = numeric_features(df, spec.features)
-    return scaler.transform(wide) if scaler else wide
+    wide = family_features(df, spec.features)
+    return scaler.transform(wide, SCALED) if scaler else wide
 
 
 def fit_detector(train: DataFrame, spec: DetectorSpec) -> Detector:
@@ -214,13 +245,14 @@ def fit_detector(train: DataFrame, spec: DetectorSpec) -> Detector:
     tfidf = fit_tfidf(train, **TFIDF_PRESETS[spec.tfidf]) if spec.features == "tfidf" else None
     scaler = None
     if spec.standardise:
-        scaler = fit_standardiser(numeric_features(train, spec.features), FEATURE_COLUMNS[spec.features])
+        scaler = fit_standardiser(family_features(train, spec.features), family_columns(spec.features))
     ready = _featurise(train, spec, tfidf, scaler)
     if preset["balanced"]:
         ready = with_class_weights(ready, "y")
     stages = []
     if tfidf is None:
-        stages.append(VectorAssembler(inputCols=FEATURE_COLUMNS[spec.features], outputCol="features"))
+        inputs = [(SCALED if scaler else "") + c for c in family_columns(spec.features)]
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     if spec.classifier == "forest":
         stages.append(random_forest(preset))
     else:

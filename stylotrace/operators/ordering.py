@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +30,8 @@ def hash_rank(
 
     Rows are counted per hash prefix first. The running sum of those counts (at most 65,536 rows per
     key) gives every prefix its offset, so that sorting happens inside one prefix bucket only. ``keys``
-    are labels with few values. With ``limit`` (an expression over ``_total``) only the rows ranked
+    are labels with few values; a null key is a group of its own, and rows with a null id are ranked too
+    (all in one bucket, so there should be few). With ``limit`` (an expression over ``_total``) only the rows ranked
     within it are kept, and buckets beyond it are dropped before any shuffle.
     """
     keyed = df.withColumn("_h", hash_key(id_col, seed))
@@ -44,15 +47,14 @@ def hash_rank(
     )
     if limit is not None:
         hist = hist.where(F.col("_offset") < limit)
-    hist = hist.drop("_n")
+    hist = hist.drop("_n").withColumnsRenamed({c: f"_at_{c}" for c in [*keys, "_b"]})
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
     # The histogram is bounded by prefixes times labels, so it may be broadcast.
-    ranked = keyed.join(F.broadcast(hist), [*keys, "_b"]).withColumn(
-        "_rank", F.col("_offset") + F.row_number().over(in_bucket)
-    )
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*keys, "_b"]])
+    ranked = keyed.join(F.broadcast(hist), same).withColumn("_rank", F.col("_offset") + F.row_number().over(in_bucket))
     if limit is not None:
         ranked = ranked.where(F.col("_rank") <= limit)
-    return ranked.drop("_h", "_b", "_offset")
+    return ranked.drop("_h", "_b", "_offset", *[f"_at_{c}" for c in [*keys, "_b"]])
 
 
 def _bucketed(counts: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:

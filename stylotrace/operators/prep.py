@@ -157,17 +157,17 @@ def harmonise_and_union(human: DataFrame, generated: DataFrame) -> DataFrame:
     return harmonise_human(human).unionByName(harmonise_generated(generated))
 
 
-def build_corpus(human: DataFrame, generated: DataFrame, per_class: int = 5000, seed: int = SEED) -> DataFrame:
+def build_corpus(human: DataFrame, generated: DataFrame, per_class: int | None = None, seed: int = SEED) -> DataFrame:
     """The labelled corpus from both pools: dedupe and clean, sample, stack, shuffle, measure.
 
-    Both pools need a ``doc_id`` that is unique across them.
+    Both pools need a ``doc_id`` that is unique across them. Without ``per_class`` all rows stay.
     """
     from stylotrace.operators.sampling import sample_per_class, shuffle_with_ids
 
     people = with_clean_text(dedupe_exact(drop_null(human, ["text"]), "doc_id"))
     machines = with_clean_text(generated)
     stacked = harmonise_and_union(people, machines)
-    sampled = sample_per_class(stacked, "doc_id", "is_ai", per_class, seed)
+    sampled = stacked if per_class is None else sample_per_class(stacked, "doc_id", "is_ai", per_class, seed)
     shuffled = shuffle_with_ids(sampled, "doc_id", seed).drop("doc_id")
     return length_columns(shuffled)
 

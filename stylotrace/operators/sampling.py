@@ -51,5 +51,6 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(weights), label)  # one row per class
+    """Add the weight of each row's class; null labels are a class of their own."""
+    weights = class_weights(df, label).select(F.col(label).alias("_class"), F.col("weight").alias(out))
+    return df.join(F.broadcast(weights), F.col(label).eqNullSafe(F.col("_class"))).drop("_class")  # one row per class

@@ -49,15 +49,15 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def surface_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the ten surface features; null or blank texts get zeros."""
+def surface_features(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """Add the ten surface features, their names behind ``prefix``; null or blank texts get zeros."""
     measures = _measures()
-    found = {f: F.when(F.size("_words") == 0, 0.0).otherwise(measures[f]).cast("double") for f in SURFACE_FEATURES}
+    found = {prefix + f: F.when(F.size("_words") == 0, 0.0).otherwise(measures[f]).cast("double") for f in SURFACE_FEATURES}
     return _measured(df, text).withColumns(found).drop("_words", "_kept", "_chars")
 
 
-def surface_features_v1(df: DataFrame, text: str = "text") -> DataFrame:
+def surface_features_v1(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add the seven features of the first variant: word length counts blanks, only '' gives zeros."""
     measures = _measures() | {"avg_word_len": ratio(F.col("_chars"), F.size("_words"))}
-    found = {f: F.when(F.col("_chars") == 0, 0.0).otherwise(measures[f]).cast("double") for f in SURFACE_FEATURES_V1}
+    found = {prefix + f: F.when(F.col("_chars") == 0, 0.0).otherwise(measures[f]).cast("double") for f in SURFACE_FEATURES_V1}
     return _measured(df, text).withColumns(found).drop("_words", "_kept", "_chars")

@@ -198,15 +198,26 @@ def dependency_depth(tokens: DataFrame) -> DataFrame:
     """Number of ancestors of every token, from heads alone. Roots are their own head.
 
     Heads stay inside a sentence, so each sentence becomes one array and pointers are doubled inside
-    it: after k rounds a token knows its ancestors up to 2^k steps up. No join per round.
+    it: after k rounds a token knows its ancestors up to 2^k steps up. No join per round. Positions may have
+    gaps (parsers that leave tokens out); a head that is no token of the sentence gives a null depth.
     """
     sentences = tokens.groupBy("doc_id", "sent_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "head"))).alias("_t")
     )
-    first = F.col("_t")[0]["pos"]
-    # Positions of a sentence are consecutive, so a head is an offset from the first one.
-    heads = F.transform("_t", lambda t: t["head"] - first)
     rounds = F.ceil(F.log2(F.size("_t") + F.lit(1))).cast("int")
+    place = F.transform("_t", lambda t: t["pos"])
+    dense = F.element_at("_t", -1)["pos"] - F.get("_t", F.lit(0))["pos"] + 1 == F.size("_t")
+    sentences = sentences.select("doc_id", "sent_id", "_t", place.alias("_pos"), rounds.alias("_rounds"), dense.alias("_dense"))
+    rounds, places = F.col("_rounds"), F.col("_pos")
+    steps = F.transform(F.sequence(rounds, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def index_of(head: Column) -> Column:
+        """Where the head stands: an offset where positions are consecutive, else by binary search."""
+        last = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(places, at + s) <= head, at + s).otherwise(at))
+        found = F.when(F.get(places, last) == head, last)
+        return F.when(F.col("_dense"), head - F.get(places, F.lit(0))).otherwise(found)
+
+    heads = F.transform("_t", lambda t: index_of(t["head"]))
     start = F.struct(
         heads.alias("h"), F.transform("_t", lambda t: F.when(t["head"] == t["pos"], 0).otherwise(1)).alias("d")
     )
@@ -218,9 +229,9 @@ def dependency_depth(tokens: DataFrame) -> DataFrame:
             F.transform(s["d"], lambda d, i: d + F.get(s["d"], F.get(s["h"], i))).alias("d"),
         ),
     )
-    with_depth = sentences.select("doc_id", "sent_id", first.alias("_first"), doubled["d"].alias("_d"))
-    return with_depth.select("doc_id", "sent_id", "_first", F.posexplode("_d").alias("_i", "depth")).select(
-        "doc_id", "sent_id", (F.col("_first") + F.col("_i")).cast("int").alias("pos"), "depth"
+    with_depth = sentences.select("doc_id", "sent_id", "_pos", doubled["d"].alias("_d"))
+    return with_depth.select("doc_id", "sent_id", "_pos", F.posexplode("_d").alias("_i", "depth")).select(
+        "doc_id", "sent_id", F.get("_pos", F.col("_i")).cast("int").alias("pos"), "depth"
     )
 
 

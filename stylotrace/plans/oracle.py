@@ -597,8 +597,8 @@ SHIFT = (
 )
 ORACLE_SQL["feature_stability"] = f"""
 WITH {SHIFT}, {syntactic_cte('shift')}, j AS (SELECT shift.y, shift.scenario, syn.* FROM syn JOIN shift USING (doc_id)),
-pick AS ((SELECT 'home' AS domain, * FROM j WHERE scenario = 'in_domain' ORDER BY md5('42:' || doc_id), doc_id LIMIT 200)
-UNION ALL (SELECT 'shifted', * FROM j WHERE scenario = 'domain_shift' ORDER BY doc_id LIMIT 200)),
+pick AS ((SELECT 'home' AS domain, * FROM j WHERE scenario = 'in_domain')
+UNION ALL (SELECT 'shifted', * FROM j WHERE scenario = 'domain_shift')),
 {long_cte('pick', SQL_STABILITY, 'domain, y')}
 SELECT domain, y, feature, {_box} FROM lng GROUP BY ALL"""
 _s_surface = ", ".join(f"surf.{f} AS s_{f}" for f in SURFACE_FEATURES)

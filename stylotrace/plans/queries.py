@@ -173,7 +173,7 @@ def corpus_build(spark, sf):
     generated = rows.where("role = 'assistant'").select(
         "doc_id", "text", F.lit("assistant").alias("source"), F.lit("chat").alias("topic"), F.lit(False).alias("redacted")
     )
-    return prep.build_corpus(human, generated).select(
+    return prep.build_corpus(human, generated, per_class=5000).select(
         "id", "text", "is_ai", "source", "topic", "temperature", "top_p",
         F.col("length_words").cast("bigint").alias("length_words"),
         F.col("length_chars").cast("bigint").alias("length_chars"),

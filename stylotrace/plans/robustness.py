@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from stylotrace.operators.evaluate import metric_rows
 from stylotrace.operators.ordering import hash_rank
-from stylotrace.operators.sampling import sample_per_class
 from stylotrace.operators.stats import box_summary
 
 PIVOT_METRICS = ["f1", "auc_roc", "accuracy"]
@@ -46,18 +45,18 @@ def auc_profile(rows: DataFrame, scenarios: Sequence[str]) -> DataFrame:
 
 
 def feature_stability(
-    home: DataFrame, shifted: DataFrame, features: Sequence[str], label: str = "y", sample: int = 200, id_col: str = "doc_id"
+    home: DataFrame, shifted: DataFrame, features: Sequence[str], label: str = "y", sample: int | None = None, id_col: str = "doc_id"
 ) -> DataFrame:
-    """Feature ranges by (domain, class): a drawn sample of the home domain against the first shifted rows."""
-    columns = [label, *features]
-    drawn = hash_rank(home, id_col, [], limit=F.lit(sample)).select(*columns).withColumn("domain", F.lit("home"))
-    first = shifted.orderBy(id_col).limit(sample).select(*columns).withColumn("domain", F.lit("shifted"))
-    return box_summary(drawn.unionByName(first), ["domain", label], features)
-
+    """Feature ranges by (domain, class), of all rows.
 
-def shift_test_set(df: DataFrame, per_class: int = 1000, label: str = "y", id_col: str = "doc_id") -> DataFrame:
-    """The test set of a shifted corpus: up to ``per_class`` rows of each class."""
-    return sample_per_class(df, id_col, label, per_class)
+    With ``sample``, of that many drawn rows of the home domain against as many first shifted rows.
+    """
+    if sample is not None:
+        home = hash_rank(home, id_col, [], limit=F.lit(sample))
+        shifted = shifted.orderBy(id_col).limit(sample)
+    columns = [label, *features]
+    both = [df.select(*columns).withColumn("domain", F.lit(name)) for name, df in (("home", home), ("shifted", shifted))]
+    return box_summary(both[0].unionByName(both[1]), ["domain", label], features)
 
 
 def final_report(metrics: DataFrame) -> DataFrame:

@@ -58,7 +58,11 @@ def load_runs(spark: SparkSession, base: str, experiments: dict[str, str] | Iter
     """Metrics of the listed experiments that were stored; the others are named in a warning."""
     labels = experiments if isinstance(experiments, dict) else {e: e for e in experiments}
     wanted = spark.createDataFrame(list(labels.items()), "experiment string, name string")
-    stored = spark.read.parquet(f"{base}/metrics")
+    try:
+        stored = spark.read.parquet(f"{base}/metrics")
+    except AnalysisException:  # nothing was stored yet
+        warnings.warn(f"runs not found: {', '.join(sorted(labels))}", stacklevel=2)
+        return wanted.limit(0)
     stored = stored.withColumn("experiment", F.col("experiment").cast("string")).drop("name")
     present = stored.withColumn("_stored", F.lit(True))
     joined = wanted.join(present, "experiment", "left")

@@ -204,3 +204,10 @@ def test_tfidf(spark, sublinear):
     for r in model.vectors(df).collect():
         dense = {terms[i]: v for i, v in enumerate(r["features"].toArray()) if v}
         assert dense == pytest.approx(weights[r["doc_id"]])
+
+
+def test_dependency_depth_where_positions_have_gaps(spark):
+    rows = [(1, 0, 0, 0), (1, 0, 2, 0), (1, 0, 5, 2), (2, 0, 7, 9), (2, 0, 9, 9), (2, 0, 30, 7), (2, 0, 31, 8)]
+    got = tokens.dependency_depth(spark.createDataFrame(rows, "doc_id long, sent_id long, pos int, head int"))
+    depth = {(r["doc_id"], r["pos"]): r["depth"] for r in got.collect()}
+    assert depth == {(1, 0): 0, (1, 2): 1, (1, 5): 2, (2, 7): 1, (2, 9): 0, (2, 30): 2, (2, 31): None}

@@ -191,3 +191,24 @@ def test_robustness_tables(spark):
     assert wide["core"]["domain_f1"] == 0.9871 and wide["tfidf_lr"]["language_auc_roc"] == 0.6578
     profile = {r["method"]: r for r in robustness.auc_profile(rows, ["in", "domain", "language"]).collect()}
     assert profile["core"]["language"] == 0.85361
+
+
+def test_feature_families_do_not_mix(spark, data):
+    """Whatever other families a frame holds, a detector gets the features it was fitted on."""
+    texts = data.select("doc_id", "y", F.concat("text", F.lit(". Well, "), "text", F.lit("!")).alias("text"))
+    wide = texts
+    for kind in ("syntactic", "surface_v1", "surface"):
+        wide = models.numeric_features(wide, kind)
+    bare = models.numeric_features(texts, "surface")
+    for kind in ("syntactic", "surface", "surface_v1"):
+        columns = models.family_columns(kind)
+        want = models.family_features(texts, kind).select("doc_id", *columns)
+        for frame in (wide, bare):
+            got = models.family_features(frame, kind).select("doc_id", *columns)
+            assert got.exceptAll(want).count() == 0
+    first = {r["doc_id"]: r["avg_sent_len"] for r in models.numeric_features(texts, "syntactic").collect()}
+    assert {r["doc_id"]: r["avg_sent_len"] for r in wide.collect()} == first
+    for spec in (small("stylo_rf", trees=4, depth=4), models.NOTEBOOK_DETECTORS["stylo_logreg"]):
+        fitted = models.fit_detector(texts, spec)
+        alone = {r["doc_id"]: r["p"] for r in fitted.predict(texts).collect()}
+        assert {r["doc_id"]: r["p"] for r in fitted.predict(wide).collect()} == pytest.approx(alone)

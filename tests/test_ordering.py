@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stylotrace.operators.ordering import hash_rank, prefix_sum
-from stylotrace.operators.sampling import balanced_sample, sample_per_class, shuffle_with_ids, stratified_kfold, stratified_split
+from stylotrace.operators.sampling import balanced_sample, sample_per_class, shuffle_with_ids, stratified_kfold, stratified_split, with_class_weights
 
 
 def md5(i):
@@ -81,3 +81,15 @@ def test_prefix_sum_without_keys(spark):
     got = prefix_sum(table, [], "v", ["n"], rows_per_bucket=10)
     assert got.columns == ["v", "n", "cum_n"]
     assert sorted((r["v"], r["cum_n"]) for r in got.collect()) == [(float(i), i + 1) for i in range(100)]
+
+
+def test_null_labels_and_ids_are_kept(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (None, None), (5, None)], "id long, label string")
+    ranked = hash_rank(rows, "id", ["label"])
+    assert ranked.columns == ["id", "label", "_total", "_rank"]
+    got = sorted((r["label"] or "", r["_rank"], r["_total"]) for r in ranked.collect())
+    assert got == [("", 1, 3), ("", 2, 3), ("", 3, 3), ("a", 1, 2), ("a", 2, 2)]
+    for drawn in (stratified_split(rows, "id", "label"), stratified_kfold(rows, "id", "label"), shuffle_with_ids(rows, "id", out="n")):
+        assert drawn.count() == 5
+    weights = {r["label"]: r["weight"] for r in with_class_weights(rows, "label").collect()}
+    assert weights == {"a": 5 / 4, None: 5 / 6}

@@ -101,3 +101,8 @@ def test_progress_stream(spark, arriving, tmp_path):
     jobs.keep_totals(totals, f"{tmp_path}/t", f"{tmp_path}/r").awaitTermination()
     expected = jobs.progress(jobs.gate(df, letter=LATIN))
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_load_runs_before_any_was_stored(spark, tmp_path):
+    with pytest.warns(UserWarning, match="e1"):
+        assert stores.load_runs(spark, f"{tmp_path}/none", {"e1": "One"}).count() == 0
