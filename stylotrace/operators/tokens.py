@@ -204,35 +204,35 @@ def dependency_depth(tokens: DataFrame) -> DataFrame:
     sentences = tokens.groupBy("doc_id", "sent_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "head"))).alias("_t")
     )
+    first = F.get("_t", F.lit(0))["pos"]
+    dense = F.element_at("_t", -1)["pos"] - first + 1 == F.size("_t")
     rounds = F.ceil(F.log2(F.size("_t") + F.lit(1))).cast("int")
     place = F.transform("_t", lambda t: t["pos"])
-    dense = F.element_at("_t", -1)["pos"] - F.get("_t", F.lit(0))["pos"] + 1 == F.size("_t")
-    sentences = sentences.select("doc_id", "sent_id", "_t", place.alias("_pos"), rounds.alias("_rounds"), dense.alias("_dense"))
-    rounds, places = F.col("_rounds"), F.col("_pos")
-    steps = F.transform(F.sequence(rounds, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
-
-    def index_of(head: Column) -> Column:
-        """Where the head stands: an offset where positions are consecutive, else by binary search."""
-        last = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(places, at + s) <= head, at + s).otherwise(at))
-        found = F.when(F.get(places, last) == head, last)
-        return F.when(F.col("_dense"), head - F.get(places, F.lit(0))).otherwise(found)
-
-    heads = F.transform("_t", lambda t: index_of(t["head"]))
-    start = F.struct(
-        heads.alias("h"), F.transform("_t", lambda t: F.when(t["head"] == t["pos"], 0).otherwise(1)).alias("d")
-    )
+    sentences = sentences.withColumns({"_pos": place, "_rounds": rounds, "_dense": dense})
+    steps = F.transform(F.sequence("_rounds", F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def searched(head: Column) -> Column:
+        """Where the head stands among the positions, by binary search; null if it is none of them."""
+        last = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_pos", at + s) <= head, at + s).otherwise(at))
+        return F.when(F.get("_pos", last) == head, last)
+
+    # Consecutive positions, which nearly all sentences have, need no search.
+    offsets = F.transform("_t", lambda t: t["head"] - first)
+    found = F.when(F.col("_dense"), offsets).otherwise(F.transform("_t", lambda t: searched(t["head"])))
+    sentences = sentences.select("doc_id", "sent_id", "_pos", "_rounds", found.alias("_h"))
+    # A root is one step from nowhere, a head that is no token leaves the depth null.
+    steps_up = F.transform("_h", lambda h, i: F.when(h == i, 0).when(F.get("_pos", h).isNotNull(), 1))
     doubled = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))),
-        start,
+        F.sequence(F.lit(1), F.greatest("_rounds", F.lit(1))),
+        F.struct(F.transform("_h", lambda h: F.when(h.isNotNull(), h)).alias("h"), steps_up.alias("d")),
         lambda s, _: F.struct(
             F.transform(s["h"], lambda h: F.get(s["h"], h)).alias("h"),
             F.transform(s["d"], lambda d, i: d + F.get(s["d"], F.get(s["h"], i))).alias("d"),
         ),
     )
     with_depth = sentences.select("doc_id", "sent_id", "_pos", doubled["d"].alias("_d"))
-    return with_depth.select("doc_id", "sent_id", "_pos", F.posexplode("_d").alias("_i", "depth")).select(
-        "doc_id", "sent_id", F.get("_pos", F.col("_i")).cast("int").alias("pos"), "depth"
-    )
+    rows = F.transform("_pos", lambda p, i: F.struct(p.cast("int").alias("pos"), F.get("_d", i).alias("depth")))
+    return with_depth.select("doc_id", "sent_id", F.inline(rows))
 
 
 def fill_depth(tokens: DataFrame) -> DataFrame:
