@@ -11,6 +11,7 @@ memory than its ids.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 
 END = "</w>"
 VOCABULARY_LIMIT = 64 << 20  # bytes of a vocabulary file; it is broadcast
-CACHED_WORDS = 200_000  # per Python worker
+CACHED_BYTES = 24 << 20  # of each of the two caches of a Python worker, about
 CACHED_LENGTH = 48
+ENTRY_BYTES = 250  # what a cached string costs beside its characters and ids, about
+HASHED_IDS = 1 << 16  # ids that are decoded and hashed at a time
 PIECE = 1 << 20  # characters walked at a time
 BATCH_IDS = 4 << 20  # ids of one outgoing batch
 NONE = 1 << 60
@@ -110,16 +113,18 @@ def byte_symbols() -> list[str]:
 
 
 class _Known(dict):
-    """Packed ids of the strings met so far, bounded."""
+    """Packed ids of the strings met so far, bounded by bytes."""
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key: str) -> bytes:
         packed = self.make(key)
         if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
+            self.held += ENTRY_BYTES + len(key) + len(packed)
+            if self.held > CACHED_BYTES:
                 self.clear()
+                self.held = ENTRY_BYTES + len(key) + len(packed)
             self[key] = packed
         return packed
 
@@ -162,6 +167,7 @@ class Encoder:
         self.ascii_words = re.compile(f"[a-z]+{short}[0-9]|[^\t-\r a-z0-9]+")
         self.newer = re.compile(f"[{''.join(map(chr, NEW_LOWER))}]")
         self.space = re.compile(f"[{WHITE_SPACE}]+")
+        self.numbers = [str(i) for i in range(len(model.tokens))]
         self.runs = _Known(self._run)
         self.known_words = _Known(lambda word: np.asarray(self.encode_word(word), np.int32).tobytes())
 
@@ -312,6 +318,40 @@ def decode(df: DataFrame, model: BpeModel, ids: str = "token_ids", out: str = "d
     return df.mapInArrow(run, _schema(df, out, T.StringType()))
 
 
+def round_trip(df: DataFrame, model: BpeModel, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, decoded and digested in one pass.
+
+    The same as ``digests`` over ``encode`` and ``decode``, but neither ids nor decoded texts leave the task, and a
+    long text is decoded and hashed piece by piece, so memory is bounded by the ids of one text. Null and empty
+    texts have no ids.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY_LIMIT bytes
+    kind = df.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(shared.value)
+        tokens, numbers = shared.value.tokens, encoder.numbers
+        for batch in batches:
+            sizes, of_ids, of_text = [], [], []
+            for value in batch.column(text):
+                ids = np.frombuffer(encoder.encode(value.as_py()), np.int32)
+                coded, decoded = hashlib.sha256(), hashlib.sha256()
+                for start in range(0, len(ids), HASHED_IDS):
+                    part = ids[start : start + HASHED_IDS].tolist()
+                    joint = " " if start else ""
+                    coded.update((joint + " ".join(map(numbers.__getitem__, part))).encode())
+                    decoded.update((joint + " ".join(map(tokens.__getitem__, part))).encode())
+                sizes.append(len(ids))
+                of_ids.append(coded.hexdigest())
+                of_text.append(decoded.hexdigest())
+            columns = [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()),
+                        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return df.select(id_col, text).mapInArrow(run, out)
+
+
 def digests(coded: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Number of ids, digest of the ids as decimal numbers joined by a space, and digest of the decoded text."""
     return coded.select(

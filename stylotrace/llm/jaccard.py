@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylotrace.llm.support import few, stored
+from stylotrace.llm.support import few, free_name, stored
 
 CHUNK = 1 << 21  # bytes of text that are hashed at once
 LOW = 0.3  # share of the token space in which frequent tokens are looked for
@@ -391,6 +391,7 @@ def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFra
 
     Rows without an id stay; rows that repeat an id and a text are one.
     """
-    found = near_copies(docs, width, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = free_name(docs, "_id")
+    found = near_copies(docs, width, threshold).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(found, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))

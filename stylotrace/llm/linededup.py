@@ -66,7 +66,11 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     they are, rows that repeat an id and a text are one document and treated alike; a null id comes last. A column
     called ``removed`` is replaced.
     """
-    docs = docs.drop("removed")
+    kept = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "removed")]
+    # All other columns travel in one struct, so that none can clash with a working column.
+    rest = F.struct(F.lit(0), *[F.col(f"`{c}`") for c in kept]).alias("rest")
+    order = [c for c in docs.columns if c.lower() not in ("text", "removed")]
+    docs = docs.select("doc_id", "text", rest)
     places = repeated(windows(docs.select("doc_id", "text"), width))
     keys = places.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "places")
     both = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
@@ -103,8 +107,8 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     )
     joined = joined.withColumn("_lines", lines)
     text = F.when(n == 0, F.col("text")).otherwise(F.array_join(between, "\n"))
-    kept = [c for c in docs.columns if c != "text"]
-    return joined.select(*kept, text.alias("text"), "removed")
+    out = [F.col(f"rest.`{c}`").alias(c) if c in kept else F.col(c) for c in order]
+    return joined.select("doc_id", text.alias("text"), "removed", "rest").select(*out, "text", "removed")
 
 
 def digests(cleaned: DataFrame) -> DataFrame:

@@ -26,9 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_bpe(spark, sf_dir):
-    model = bpe.load_model(WORD_BPE)
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return bpe.digests(bpe.decode(coded.drop("text"), model))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load_model(WORD_BPE))
 
 
 @query

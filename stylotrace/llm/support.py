@@ -21,6 +21,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with underscores behind it until ``df`` has no column of that name (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def without_blanks(text: Column) -> Column:
     """The text without the six ASCII blanks; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")

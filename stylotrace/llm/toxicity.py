@@ -42,12 +42,42 @@ FLOOR = -12.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PER_WORD = 2 + len(PREFIXES)
 KNOWN_WORDS = 200_000
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+LONGEST = 64  # characters of a run that count as one word
+SIGN = re.compile(r"[\W_]+")
+NO_SIGN = re.compile(r"[^\W_]")
 
 
 def clean(run: str) -> str:
     """The word in a run of non-blank characters: lower case, without signs at its ends."""
-    return EDGE.sub("", run[:200]).lower()
+    if NO_SIGN.match(run) is None:
+        run = run[found.end() :] if (found := SIGN.match(run)) else run
+    if run and NO_SIGN.match(run[-1]) is None:
+        run = run[: len(run) - SIGN.match(run[::-1]).end()]
+    return run.lower()
+
+
+def places(text: str) -> Iterator[tuple[int, int]]:
+    """Where the words of a text stand: runs of non-blank characters.
+
+    A longer run than LONGEST, as in scripts without blanks, is read through windows of half that length, each
+    half over the one before, so every character is in a word.
+    """
+    half = LONGEST // 2
+    for run in re.finditer(r"\S+", text):
+        start, stop = run.span()
+        if stop - start <= LONGEST:
+            yield start, stop
+        else:
+            for at in range(start, stop - half // 2, half // 2):
+                yield at, min(at + half, stop)
+
+
+def runs_of(text: str) -> list[str]:
+    """The pieces of a text that ``places`` names."""
+    runs = text.split()
+    if max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    return [text[a:b] for a, b in places(text)]
 
 
 def features(word: str) -> list[int]:
@@ -93,9 +123,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_field(windows: list[list[str]], tags: list[list[int]], rounds: int = 60, penalty: float = 1e-3) -> Field:
     """Maximise the penalised likelihood of the tags by adaptive gradient steps over all windows."""
-    count = np.array([len(w) for w in windows])
+    count = np.array([len(w) for w in windows], np.int64)
     first = np.cumsum(count) - count
-    ids = np.array([features(w) for window in windows for w in window]).reshape(-1, PER_WORD)
+    ids = np.array([features(w) for window in windows for w in window], np.int64).reshape(-1, PER_WORD)
     gold = np.array([t for row in tags for t in row], np.float64)
     inner = np.ones(len(gold), bool)
     inner[first[count > 0]] = False
@@ -165,7 +195,7 @@ def offending_words(texts: DataFrame, limits: Limits) -> set[str]:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = [clean(r) for r in (text or "").split()]
+                words = [clean(r) for r in runs_of(text or "")]
                 rows = {(w, zlib.crc32(f"{a} {b}".encode())) for a, w, b in zip(["", *words], words, [*words[1:], ""]) if w}
                 columns = [pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([toxic] * len(rows), pa.int32())], ["word", "context", "toxic"])
@@ -189,13 +219,13 @@ def offending_words(texts: DataFrame, limits: Limits) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Field:  # noqa: B008
     """Learn a field from (doc_id, text) and (doc_id, toxic). Without labels of both kinds nothing offends."""
-    texts = training_texts(docs, labels, limits)
+    texts = training_texts(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), limits)
     bad = offending_words(texts, limits)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic, draw in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "draw")), strict=True):
-                words = [clean(r) for r in (text or "").split()]
+                words = [clean(r) for r in runs_of(text or "")]
                 rows = []
                 for k in range(0, len(words), WINDOW):
                     part = words[k : k + WINDOW]
@@ -212,6 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Field:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
         field = fit_field([r["words"] for r in rows], [r["tags"] for r in rows])
         columns = [pa.array([field.weights.tobytes()]), pa.array([field.transitions.tobytes()])]
         yield pa.RecordBatch.from_arrays(columns, ["weights", "transitions"])
@@ -271,12 +303,12 @@ class _Unary(dict):
 def _spans(text: str, odds: np.ndarray) -> list[dict[str, int]]:
     """Character ranges of neighbouring offending words."""
     out, last = [], -2
-    for k, m in enumerate(re.finditer(r"\S+", text)):
-        if odds[k] >= 0:
+    for k, (start, stop) in enumerate(places(text)):
+        if odds[k] > 0:
             if last == k - 1:
-                out[-1]["stop"] = m.end()
+                out[-1]["stop"] = stop
             else:
-                out.append({"start": m.start(), "stop": m.end()})
+                out.append({"start": start, "stop": stop})
             last = k
     return out
 
@@ -299,10 +331,10 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         known = _Unary(f.weights)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            parts = [np.fromiter(map(known.__getitem__, t.split()), np.float32) for t in texts]
+            parts = [np.fromiter(map(known.__getitem__, runs_of(t)), np.float32) for t in texts]
             count = np.array([len(p) for p in parts], np.int64)
             first = np.cumsum(count) - count
-            odds = messages(np.concatenate(parts), first, count, f.transitions)
+            odds = messages(np.concatenate([np.empty(0, np.float32), *parts]), first, count, f.transitions)
             peak = np.full(len(texts), FLOOR)
             some = np.flatnonzero(count)
             if len(some):
@@ -310,7 +342,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             sums = np.concatenate([[0.0], np.cumsum(_sigmoid(odds))])
             expected = sums[first + count] - sums[first]
             value = _sigmoid(design(peak, expected, count.astype(np.float64)) @ np.array(f.curve))
-            found = [_spans(t, odds[a : a + n]) if top >= 0 else [] for t, a, n, top in zip(texts, first, count, peak, strict=True)]
+            found = [_spans(t, odds[a : a + n]) if top > 0 else [] for t, a, n, top in zip(texts, first, count, peak, strict=True)]
             columns = [*[batch.column(c) for c in passed], pa.array(peak), pa.array(expected), pa.array(count), pa.array(value), pa.array(found, spans)]
             yield pa.RecordBatch.from_arrays(columns, [*passed, *names])
 

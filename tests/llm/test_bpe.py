@@ -74,3 +74,22 @@ def test_nulls_repeats_and_empty_tables(spark, model):
 def test_a_vocabulary_of_another_kind_is_refused():
     with pytest.raises(ValueError):
         bpe.load_model(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_one_pass_equals_encode_and_decode(spark, model):
+    values = [*texts(), None, "word " * 100_000 + "a<|endoftext|>b"]
+    rows = [(i if i else None, t, "x", 1) for i, t in enumerate(values)] + [(3, values[3], "x", 1)] * 2
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = bpe.digests(bpe.decode(bpe.encode(df, model), model))
+    got = bpe.round_trip(df, model)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert bpe.round_trip(df.limit(0), model).count() == 0
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 10_000)
+    known = bpe._Known(lambda key: key.encode())
+    for k in range(1000):
+        assert known[f"w{k}"] == f"w{k}".encode()
+        assert len(known) * bpe.ENTRY_BYTES <= 10_000
