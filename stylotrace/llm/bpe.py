@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 
 END = "</w>"
 VOCABULARY_LIMIT = 64 << 20  # bytes of a vocabulary file; it is broadcast
-CACHED_BYTES = 24 << 20  # of each of the two caches of a Python worker, about
+CACHED_BYTES = 64 << 20  # of each of the two caches of a Python worker, about
 CACHED_LENGTH = 48
 ENTRY_BYTES = 250  # what a cached string costs beside its characters and ids, about
-HASHED_IDS = 1 << 16  # ids that are decoded and hashed at a time
+HASHED_IDS = 1 << 20  # ids that are decoded and hashed at a time
 PIECE = 1 << 20  # characters walked at a time
 BATCH_IDS = 4 << 20  # ids of one outgoing batch
 NONE = 1 << 60
@@ -113,16 +113,23 @@ def byte_symbols() -> list[str]:
 
 
 class _Known(dict):
-    """Packed ids of the strings met so far, bounded by bytes."""
+    """Packed ids of the strings met so far, bounded by bytes.
+
+    Half of the bound is for the strings met lately. When these fill it, they take the place of the ones before, which
+    are looked up once more before they are forgotten, so frequent strings stay.
+    """
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make, self.held = make, 0
+        self.make, self.held, self.before = make, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        packed = self.make(key)
+        packed = self.before.get(key)
+        if packed is None:
+            packed = self.make(key)
         if len(key) <= CACHED_LENGTH:
             self.held += ENTRY_BYTES + len(key) + len(packed)
-            if self.held > CACHED_BYTES:
+            if self.held > CACHED_BYTES // 2:
+                self.before = dict(self)
                 self.clear()
                 self.held = ENTRY_BYTES + len(key) + len(packed)
             self[key] = packed
@@ -167,7 +174,7 @@ class Encoder:
         self.ascii_words = re.compile(f"[a-z]+{short}[0-9]|[^\t-\r a-z0-9]+")
         self.newer = re.compile(f"[{''.join(map(chr, NEW_LOWER))}]")
         self.space = re.compile(f"[{WHITE_SPACE}]+")
-        self.numbers = [str(i) for i in range(len(model.tokens))]
+        self.numbers = pa.array([str(i) for i in range(len(model.tokens))])
         self.runs = _Known(self._run)
         self.known_words = _Known(lambda word: np.asarray(self.encode_word(word), np.int32).tobytes())
 
@@ -330,20 +337,40 @@ def round_trip(df: DataFrame, model: BpeModel, text: str = "text", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
-        tokens, numbers = shared.value.tokens, encoder.numbers
+        tables = encoder.numbers, pa.array(shared.value.tokens, pa.string())
+
+        def digests_of(held: list[bytes]) -> list[tuple[int, str, str]]:
+            """Of some short texts together, or piece by piece of a long one: number of ids and both digests."""
+            out = [(len(h) // 4, hashlib.sha256(), hashlib.sha256()) for h in held]
+            ids = pa.array(np.frombuffer(b"".join(held), np.int32))
+            ends = np.cumsum([0, *[n for n, _, _ in out]], dtype=np.int64)
+            if len(held) == 1:
+                cuts = np.append(np.arange(0, max(len(ids), 1), HASHED_IDS), len(ids))
+            else:
+                cuts = ends
+            for k, table in enumerate(tables):
+                for at in range(len(cuts) - 1) if len(held) == 1 else [None]:
+                    part = cuts if at is None else cuts[at : at + 2]
+                    offsets = pa.array((part - part[0]).astype(np.int32))
+                    words = table.take(ids.slice(part[0], part[-1] - part[0]))
+                    for j, joined in enumerate(pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ")):
+                        if at:
+                            out[0][1 + k].update(b" ")
+                        out[j][1 + k].update(joined.as_buffer())
+            return [(n, a.hexdigest(), b.hexdigest()) for n, a, b in out]
+
         for batch in batches:
-            sizes, of_ids, of_text = [], [], []
+            done, held, size = [], [], 0
             for value in batch.column(text):
-                ids = np.frombuffer(encoder.encode(value.as_py()), np.int32)
-                coded, decoded = hashlib.sha256(), hashlib.sha256()
-                for start in range(0, len(ids), HASHED_IDS):
-                    part = ids[start : start + HASHED_IDS].tolist()
-                    joint = " " if start else ""
-                    coded.update((joint + " ".join(map(numbers.__getitem__, part))).encode())
-                    decoded.update((joint + " ".join(map(tokens.__getitem__, part))).encode())
-                sizes.append(len(ids))
-                of_ids.append(coded.hexdigest())
-                of_text.append(decoded.hexdigest())
+                packed = encoder.encode(value.as_py())
+                if held and size + len(packed) > 4 * HASHED_IDS:
+                    done += digests_of(held)
+                    held, size = [], 0
+                held.append(packed)
+                size += len(packed)
+            if held:
+                done += digests_of(held)
+            sizes, of_ids, of_text = ([r[k] for r in done] for k in range(3))
             columns = [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

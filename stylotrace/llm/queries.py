@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, kdshard, linededup, quality, toxicity, vptree
+from stylotrace.llm import bpe, chat, curriculum, exact, jaccard, kdshard, langid, linededup, prefixtrie, quality, toxicity, vptree, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,18 @@ def op5_kd_shards(spark, sf_dir):
 @query
 def op9_line_dedup(spark, sf_dir):
     return linededup.digests(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op12_language_id(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -92,4 +92,14 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
     known = bpe._Known(lambda key: key.encode())
     for k in range(1000):
         assert known[f"w{k}"] == f"w{k}".encode()
-        assert len(known) * bpe.ENTRY_BYTES <= 10_000
+        assert (len(known) + len(known.before)) * bpe.ENTRY_BYTES <= 10_000
+    assert known["w999"] == b"w999"
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 1000])
+def test_digests_do_not_depend_on_pieces(spark, model, monkeypatch, pieces):
+    monkeypatch.setattr(bpe, "HASHED_IDS", pieces)
+    rows = [(i, t, "x", 1) for i, t in enumerate(["", "a b c", "word " * 50, "<|endoftext|>", "x", None, "é!" * 30])]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    want = bpe.digests(bpe.decode(bpe.encode(df, model), model))
+    assert sorted(map(tuple, bpe.round_trip(df, model).collect())) == sorted(map(tuple, want.collect()))

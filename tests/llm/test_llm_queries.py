@@ -30,6 +30,6 @@ def test_query_equals_sql(spark, name):
     assert canonical(map(tuple, df.collect()), df.columns) == canonical(result.fetchall(), names)
 
 
-def test_all_ten_operators_are_registered():
+def test_all_thirteen_operators_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
