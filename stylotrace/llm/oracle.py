@@ -104,3 +104,31 @@ SELECT s.doc_id, coalesce(n_runs, 0) AS n_runs, coalesce(lines_removed, 0) AS li
        sha256(coalesce(left_over.text, '')) AS text_sha256
 FROM split s LEFT JOIN counts USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
+
+_BYTES = "list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+_STEP = "list_reduce(list_concat([xor(a, b)], range(8)), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)"
+_CRC = f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda a, b: {_STEP}))"
+ORACLE_SQL["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL)),
+m AS (SELECT conv_id AS c, count(*) AS m FROM t GROUP BY ALL),
+convs AS (SELECT c, c - c % 5 AS base, {_CRC} % 9 AS h FROM m),
+rebuilt AS (SELECT c, pos, role, text FROM convs JOIN t ON conv_id = base AND pos < h
+  UNION ALL SELECT convs.c, pos - h + least(h, coalesce(m.m, 0)), role, text
+            FROM convs JOIN t ON conv_id = convs.c AND pos >= h LEFT JOIN m ON m.c = base),
+keyed AS (SELECT c, pos + 1 AS depth, strlen(text) AS bytes,
+                 string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY pos) AS key FROM rebuilt),
+paths AS (SELECT c, depth, bytes, key, lag(key, 1, '') OVER (PARTITION BY c ORDER BY depth) AS parent FROM keyed
+  UNION ALL SELECT c, 0, 0, '', NULL FROM convs),
+nodes AS (SELECT depth, key, min(c) AS conv_id, count(*) AS n_convs, min(parent) AS parent, max(bytes) AS bytes FROM paths GROUP BY depth, key),
+kids AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+every AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, key)),
+below AS (SELECT p.depth, p.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * e.bytes) AS saved
+  FROM every e JOIN paths p ON p.c = e.conv_id AND p.depth <= e.depth GROUP BY p.depth, p.key),
+final AS (SELECT c, max(depth) AS depth, arg_max(key, depth) AS key FROM paths GROUP BY c),
+ends AS (SELECT depth, key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM final GROUP BY depth, key)
+SELECT e.conv_id, e.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, e.n_convs, e.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM every e JOIN below USING (depth, key) LEFT JOIN ends USING (depth, key)
+LEFT JOIN every above ON above.depth = e.depth - 1 AND above.key = e.parent"""
