@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylotrace.functions.numbers import ratio
-from stylotrace.operators.ordering import prefix_sum
+from stylotrace.operators.ordering import join_keys, prefix_sum
 
 METRICS = ["accuracy", "precision", "recall", "f1", "auc_roc", "ap"]
 
@@ -112,7 +112,7 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str =
     running = _running(pred, keys, y, p, following=["pos", "neg"])
     totals = running.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     start = totals.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    joined = running.join(F.broadcast(totals), keys)  # one row per experiment
+    joined = join_keys(running, totals, keys, small=True)
     # A point is kept where the step into it differs from the step out of it; so are both ends.
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     last = F.col("next_pos").isNull()
@@ -134,7 +134,7 @@ def pr_curve(pred: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "
     running = _running(pred, keys, y, p)
     totals = running.groupBy(*keys).agg(F.sum("pos").alias("_p"))
     end = totals.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    joined = running.join(F.broadcast(totals), keys)  # one row per experiment
+    joined = join_keys(running, totals, keys, small=True)
     points = joined.select(
         *keys,
         F.col("score").alias("threshold"),

@@ -15,7 +15,6 @@ from stylotrace.fixed_values import SEED
 from stylotrace.session import materialise
 
 HASH_PREFIX = 4  # hex digits: at most 65,536 buckets per key
-MAX_BUCKETS = 4096
 
 
 def hash_key(id_col: str, seed: int = SEED) -> Column:
@@ -57,30 +56,11 @@ def hash_rank(
     return ranked.drop("_h", "_b", "_offset", *[f"_at_{c}" for c in [*keys, "_b"]])
 
 
-def _bucketed(counts: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
-    """Bucket values by per-key quantiles; equal values always share a bucket.
-
-    The boundaries are fetched once (keys x buckets numbers) and go back in as data, so every branch
-    of the plan sees the same ones.
-    """
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = (
-        counts.groupBy(*keys)
-        .agg(F.percentile_approx(order, cuts, max(10_000, 10 * buckets)).alias("_bounds"))
-        .select(*keys, "_bounds")
-    )
-    fixed = counts.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
-    strides = [1 << i for i in reversed(range(max(1, math.ceil(math.log2(buckets)))))]
-    value, edges = F.col(order), F.col("_bounds")
-    # Binary search for the number of boundaries below the value.
-    below = F.aggregate(
-        F.array(*[F.lit(s) for s in strides]),
-        F.lit(0),
-        lambda at, s: F.when(
-            (at + s <= F.size(edges)) & (F.get(edges, at + s - 1) < value), at + s
-        ).otherwise(at),
-    )
-    return counts.join(F.broadcast(fixed), keys).withColumn("_b", below).drop("_bounds")
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on ``keys`` with null as a key like any other. ``small``: the right side has one row per label."""
+    renamed = right.withColumnsRenamed({c: f"_at_{c}" for c in keys})
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    return left.join(F.broadcast(renamed) if small else renamed, same, how).drop(*[f"_at_{c}" for c in keys])
 
 
 def prefix_sum(
@@ -90,14 +70,17 @@ def prefix_sum(
     sums: Sequence[str],
     descending: bool = False,
     following: Sequence[str] = (),
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``, the inclusive running sum of each column in ``sums`` per key in value order.
 
-    ``counts`` has one row per (keys, order value), which also defuses hot values: they are one row
-    each. ``keys`` are labels with few values (features, classes, methods). ``following`` adds
-    ``next_<c>``, the value of ``c`` in the next row. Up to ``rows_per_bucket`` rows a plain window
-    does; beyond that the values are cut in buckets and only bucket totals meet in one place.
+    ``counts`` has one row per (keys, order value), which also defuses hot values: they are one row each. A null key is
+    a group of its own. ``following`` adds ``next_<c>``, the value of ``c`` in the next row.
+
+    The rows are range-partitioned by key and value, so no range is larger than a partition even if one key holds all
+    rows. Sums run inside the ranges; only the totals of the ranges, one row for each and one more per key, meet in
+    order and give every range its offset. Spark chooses the number of ranges by ``spark.sql.shuffle.partitions`` and the
+    size of the rows, unless ``rows_per_bucket`` asks for a certain size. The result does not depend on it.
     """
     keys = list(keys)
     if not keys:
@@ -105,44 +88,39 @@ def prefix_sum(
             counts.withColumn("_all", F.lit(0)), ["_all"], order, sums, descending, following, rows_per_bucket
         )
         return alone.drop("_all")
-    counts = materialise(counts)
-    n = counts.count()
+    columns = counts.columns
+    by = [*keys, order]
+    if rows_per_bucket is None:
+        ranged = counts.repartitionByRange(*by)
+    else:
+        counts = materialise(counts)
+        ranged = counts.repartitionByRange(max(1, math.ceil(counts.count() / rows_per_bucket)), *by)
+    ranged = materialise(ranged.withColumn("_range", F.spark_partition_id()))
+
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    ranges = F.col("_range").desc() if descending else F.col("_range").asc()
     running = (Window.unboundedPreceding, Window.currentRow)
-
-    if buckets <= 1:
-        window = Window.partitionBy(*keys).orderBy(direction)
-        out = counts
-        for c in sums:
-            out = out.withColumn(f"cum_{c}", F.sum(c).over(window.rowsBetween(*running)))
-        for c in following:
-            out = out.withColumn(f"next_{c}", F.lead(c).over(window))
-        return out
-
-    rows = _bucketed(counts, keys, order, buckets)
-    pick = F.max_by if descending else F.min_by
-    totals = rows.groupBy(*keys, "_b").agg(
+    first = F.max if descending else F.min  # nulls are smallest in structs as they are in the sort
+    totals = ranged.groupBy(*keys, "_range").agg(
         *[F.sum(c).alias(f"_sum_{c}") for c in sums],
-        *[pick(c, order).alias(f"_first_{c}") for c in following],
+        *[first(F.struct(F.col(order), F.col(c)))[c].alias(f"_first_{c}") for c in following],
     )
-    across = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if descending else F.col("_b").asc())
+    across = Window.partitionBy(*keys).orderBy(ranges)  # one row per range
     totals = totals.select(
         *keys,
-        "_b",
-        *[
-            (F.sum(f"_sum_{c}").over(across.rowsBetween(*running)) - F.col(f"_sum_{c}")).alias(f"_off_{c}")
-            for c in sums
-        ],
+        "_range",
+        *[(F.sum(f"_sum_{c}").over(across.rowsBetween(*running)) - F.col(f"_sum_{c}")).alias(f"_off_{c}") for c in sums],
         *[F.lead(f"_first_{c}").over(across).alias(f"_after_{c}") for c in following],
     )
-    window = Window.partitionBy(*keys, "_b").orderBy(direction)
-    out = rows.join(F.broadcast(totals), [*keys, "_b"])
-    for c in sums:
-        out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(window.rowsBetween(*running)))
-    for c in following:
-        out = out.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(window), F.col(f"_after_{c}")))
-    return out.select(*counts.columns, *[f"cum_{c}" for c in sums], *[f"next_{c}" for c in following])
+    inside = Window.partitionBy(*keys, "_range").orderBy(direction)
+    out = join_keys(ranged, totals, [*keys, "_range"])
+    out = out.withColumns({f"cum_{c}": F.col(f"_off_{c}") + F.sum(c).over(inside.rowsBetween(*running)) for c in sums})
+    if following:
+        ends = F.lead(F.lit(1)).over(inside).isNull()
+        out = out.withColumns(
+            {f"next_{c}": F.when(ends, F.col(f"_after_{c}")).otherwise(F.lead(c).over(inside)) for c in following}
+        )
+    return out.select(*columns, *[f"cum_{c}" for c in sums], *[f"next_{c}" for c in following])
 
 
 def long_form(df: DataFrame, id_cols: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from stylotrace.functions.numbers import erfc, ratio
-from stylotrace.operators.ordering import long_form, prefix_sum
+from stylotrace.operators.ordering import join_keys, long_form, prefix_sum
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -33,7 +34,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
 def quantiles(cumulated: DataFrame, keys: Sequence[str], points: dict[str, float], value: str = "value") -> DataFrame:
     """Quantiles by linear interpolation from counts ``n`` and running counts ``cum_n``."""
     totals = cumulated.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    rows = cumulated.join(F.broadcast(totals), list(keys))  # one row per key
+    rows = join_keys(cumulated, totals, list(keys), small=True)
     picks = []
     for name, q in points.items():
         at = (F.col("_total") - 1) * F.lit(q)
@@ -99,23 +100,48 @@ def _normal_p_value(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
     return F.when(sigma > 0, F.least(erfc(z / math.sqrt(2.0)), F.lit(1.0))).otherwise(F.lit(1.0))
 
 
+@lru_cache(maxsize=16)
+def _numerator(small: int) -> tuple[int, list[int]]:
+    """1 / ((1 - q) (1 - q^1) ... (1 - q^small)) as a polynomial over (1 - q^period)^(small + 1): (period, coefficients)."""
+    period = math.lcm(*range(1, small + 1))
+    out = [1] + [0] * ((small + 1) * period)
+    for i in (1, *range(1, small + 1)):
+        # Times (1 - q^period) / (1 - q^i): running sums at the distance i, less those a period before.
+        for k in range(i, len(out)):
+            out[k] += out[k - i]
+        for k in range(len(out) - 1, period - 1, -1):
+            out[k] -= out[k - period]
+    return period, out
+
+
+def count_up_to(most: int, small: int, big: int) -> int:
+    """How many of the choose(small + big, small) orders of two samples without ties have U of at most ``most``.
+
+    The Gaussian binomial counts orders by U. Its denominator and the sum over U only depend on the smaller sample; its
+    numerator has few terms. So the count takes a few hundred steps in whole numbers however large the other sample is.
+    """
+    period, numerator = _numerator(small)
+    terms = {(0, 0): 1}  # signs of the products of (1 - q^(big + i)), by number of factors and sum of their i
+    for i in range(1, small + 1):
+        for (n, shift), sign in list(terms.items()):
+            terms[n + 1, shift + i] = terms.get((n + 1, shift + i), 0) - sign
+    total = 0
+    for (n, shift), sign in terms.items():
+        left = most - n * big - shift
+        if left >= 0:
+            places = range(left % period, min(left, len(numerator) - 1) + 1, period)
+            total += sign * sum(numerator[r] * math.comb((left - r) // period + small, small) for r in places)
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def _exact_p_value(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Two-sided p from the null distribution of U; only for one sample of at most 8 without ties."""
 
     def one(u: float, n1: int, n2: int) -> float:
         small, big = sorted((int(n1), int(n2)))
-        # Coefficients of the Gaussian binomial: multiply by (1 - q^(big+i)), divide by (1 - q^i).
-        ways = np.zeros(small * big + 1)
-        ways[0] = 1.0
-        for i in range(1, small + 1):
-            shifted = ways.copy()
-            shifted[big + i :] -= ways[: max(len(ways) - big - i, 0)]
-            for start in range(i):
-                shifted[start::i] = np.cumsum(shifted[start::i])
-            ways = shifted
-        larger = max(u, n1 * n2 - u)
-        return float(min(1.0, 2.0 * ways[int(larger) :].sum() / ways.sum()))
+        larger = int(max(u, n1 * n2 - u))
+        return min(1.0, float(Fraction(2 * count_up_to(small * big - larger, small, big), math.comb(small + big, small))))
 
     return pd.Series([one(*args) for args in zip(u, n1, n2)], dtype="float64")
 
@@ -199,7 +225,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], features: Sequence[str]) ->
     ends = running.groupBy(*group).agg(
         F.sum("n").alias("n_rows"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    return ends.join(quantiles(running, group, QUARTILES), group).select(*group, "n_rows", "min", *QUARTILES, "max")
+    return join_keys(ends, quantiles(running, group, QUARTILES), group).select(*group, "n_rows", "min", *QUARTILES, "max")
 
 
 def probability_histogram(df: DataFrame, label: str, p: str, bins: int = 40) -> DataFrame:
@@ -214,12 +240,12 @@ def probability_histogram(df: DataFrame, label: str, p: str, bins: int = 40) ->
         "_total",
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
-    placed = df.join(F.broadcast(span), label).withColumn(
+    placed = join_keys(df, span, [label], small=True).withColumn(
         "bin", F.least(F.floor((F.col(p) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     )
     counts = placed.groupBy(label, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(counts, [label, "bin"], "left").select(
+    return join_keys(grid, counts, [label, "bin"], "left").select(
         label,
         "bin",
         (F.col("_lo") + F.col("bin") * width).alias("lower"),
@@ -237,7 +263,8 @@ def kde_curve(df: DataFrame, label: str, p: str, points: int = 300) -> DataFrame
     """
     shape = df.groupBy(label).agg(F.count(p).alias("_n"), F.stddev_samp(p).alias("_std"))
     shape = shape.withColumn("_h", F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    scores = df.groupBy(label, p).agg(F.count(F.lit(1)).alias("_w")).join(F.broadcast(shape), label)
+    scores = df.groupBy(label, p).agg(F.count(F.lit(1)).alias("_w"))
+    scores = join_keys(scores, shape, [label], small=True)
     grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
     spread = scores.select(label, p, "_w", "_n", "_h", F.posexplode(grid).alias("point", "x"))
     z = (F.col("x") - F.col(p)) / F.col("_h")

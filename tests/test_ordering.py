@@ -93,3 +93,36 @@ def test_null_labels_and_ids_are_kept(spark):
         assert drawn.count() == 5
     weights = {r["label"]: r["weight"] for r in with_class_weights(rows, "label").collect()}
     assert weights == {"a": 5 / 4, None: 5 / 6}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sum_with_null_keys_and_values_at_any_number_of_ranges(spark, descending):
+    rng = random.Random(2)
+    data = {(k, None if v == 13 else v): rng.randint(1, 9) for k in ("a", None, "b") for v in range(200) if rng.random() < 0.6}
+    table = spark.createDataFrame([(k, v, n, None if n == 4 else n) for (k, v), n in data.items()], "k string, v int, n long, m long")
+    results = []
+    for per_bucket in (None, 1_000_000, 7, 1):
+        got = prefix_sum(table, ["k"], "v", ["n"], descending, following=["m"], rows_per_bucket=per_bucket)
+        results.append(sorted(map(tuple, got.collect()), key=repr))
+    assert results[1:] == results[:1] * 3 and len(results[0]) == len(data)
+    place = lambda v: (v is not None, v or 0)  # noqa: E731  null is the smallest
+    found = {(r[0], r[1]): r[4:] for r in results[0]}
+    for key in ("a", None, "b"):
+        values, total = sorted((v for k, v in data if k == key), key=place, reverse=descending), 0
+        for i, v in enumerate(values):
+            total += data[key, v]
+            after = data[key, values[i + 1]] if i + 1 < len(values) else None
+            assert found[key, v] == (total, None if after == 4 else after)
+
+
+def test_summaries_and_curves_keep_null_groups(spark):
+    from stylotrace.operators.evaluate import pr_curve, roc_curve
+    from stylotrace.operators.stats import box_summary
+
+    rows = spark.createDataFrame([(None, float(i), i % 2) for i in range(5)] + [("x", float(i), i % 3 % 2) for i in range(9)], "g string, v double, y int")
+    found = {r["g"]: (r["n_rows"], r["q50"]) for r in box_summary(rows, ["g"], ["v"]).collect()}
+    assert found == {None: (5, 2.0), "x": (9, 4.0)}
+    scored = rows.withColumn("p", F.col("v") / 10)
+    for curve in (roc_curve, pr_curve):
+        points = curve(scored, ["g"]).groupBy("g").count().collect()
+        assert {r["g"] for r in points} == {None, "x"} and min(r["count"] for r in points) > 2

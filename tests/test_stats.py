@@ -105,3 +105,22 @@ def test_ranking(spark):
     rows = [("a", 0.05), ("b", 0.5), ("c", 0.3), ("d", 0.3)]
     got = stats.feature_ranking(spark.createDataFrame(rows, "feature string, effect double"), 3).collect()
     assert [(r["feature"], r["band"]) for r in got] == [("b", "large"), ("c", "medium"), ("d", "medium")]
+
+
+def test_exact_p_counts_equal_enumeration_and_do_not_grow_with_the_larger_sample():
+    import itertools
+    import math
+    import tracemalloc
+
+    from stylotrace.operators.stats import count_up_to
+
+    for small, big in [(1, 1), (1, 6), (2, 5), (3, 3), (4, 7), (5, 5)]:
+        us = [sum(x - i for i, x in enumerate(c)) for c in itertools.combinations(range(small + big), small)]
+        for most in range(-1, small * big + 2):
+            assert count_up_to(most, small, big) == sum(u <= most for u in us)
+    assert count_up_to(8 * 40, 8, 40) == math.comb(48, 8)
+    tracemalloc.start()
+    half = count_up_to(8 * 10**8 // 2, 8, 10**8) / math.comb(10**8 + 8, 8)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert 0.5 < half < 0.500001
