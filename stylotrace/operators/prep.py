@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stylotrace.fixed_values import (
     CAPITAL_LETTER,
@@ -19,6 +21,7 @@ from stylotrace.fixed_values import (
 from stylotrace.functions import text as T
 from stylotrace.functions.numbers import ratio
 from stylotrace.operators.ordering import hash_key, hash_rank
+from stylotrace.session import materialise
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -66,16 +69,55 @@ def min_length(df: DataFrame, n: int = 100, text: str = "text") -> DataFrame:
     return df.where(F.char_length(text) >= n)
 
 
+FEW_DIGESTS = 1 << 19  # rows of digests that may be broadcast: under 100 MB
+HOT = 1 << 16  # rows of one digest from which on it is dealt over SALTS places
+SALTS = 64
+
+
+def text_digest(text: str) -> Column:
+    return F.sha2(F.col(text), 256)
+
+
+def _salted(rows: DataFrame, digests: DataFrame, id_col: str) -> DataFrame:
+    """Shuffled join of rows (_digest, id) and few facts per digest (_digest, _n, ...); hot digests are dealt out."""
+    places = F.when(F.col("_n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    hot = digests.where(F.col("_n") > HOT).select("_digest", F.lit(True).alias("_hot"))  # at most rows / HOT
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).otherwise(-1)
+    dealt = rows.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", salt).drop("_hot")
+    return dealt.join(digests.withColumn("_salt", F.explode(places)), ["_digest", "_salt"])
+
+
 def dedupe_exact(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """Keep the row with the lowest id of every text.
+    """Keep the row with the lowest id of every text; of rows that repeat id and text, and of nulls, one.
 
-    Copies are merged by an aggregate on the text's digest, so a text that makes up a third of the
-    corpus shrinks to one row per map task before the shuffle.
+    Only digests and ids are grouped, by hash aggregates that shrink copies before they move. Digests that stand in
+    several rows are joined back: broadcast, if they are counted to be few, so that texts stay where they are; else the ids
+    to drop are found among the narrow rows, with hot digests dealt over many tasks, and the texts move once by id.
     """
-    rest = [c for c in df.columns if c != id_col]
-    first = F.min_by(F.struct(*df.columns), F.col(id_col)).alias("_first")
-    keyed = df.select(F.sha2(F.col(text), 256).alias("_digest"), id_col, *rest)
-    return keyed.groupBy("_digest").agg(first).select("_first.*").select(*df.columns)
+    keyed = df.withColumn("_digest", text_digest(text))
+    per = keyed.groupBy("_digest", id_col).agg(F.count(F.lit(1)).alias("_n"))
+    groups = per.groupBy("_digest").agg(
+        F.min(id_col).alias("_first"), F.coalesce(F.min_by("_n", id_col), F.sum("_n")).alias("_same"), F.sum("_n").alias("_n")
+    )
+    several = materialise(groups.where((F.col("_n") > 1) & F.col("_digest").isNotNull()))
+    sizes = several.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_same") > 1).alias("repeats")).first()
+    stays = F.col(id_col).eqNullSafe(F.col("_first"))
+    if sizes["n"] <= FEW_DIGESTS:
+        kept = keyed.join(F.broadcast(several), "_digest", "left").where(F.col("_n").isNull() | stays).drop("_first", "_same", "_n")
+    else:
+        narrow = keyed.where("_digest is not null").select("_digest", id_col)
+        losers = _salted(narrow, several, id_col).where(~stays)
+        losers = losers.select(F.col("_digest").alias("_lost"), F.col(id_col).alias("_loser"))
+        same = (F.col("_digest") == F.col("_lost")) & F.col(id_col).eqNullSafe(F.col("_loser"))
+        kept = keyed.join(losers.hint("shuffle_hash"), same, "left_anti")
+    out = kept.where("_digest is not null")
+    if sizes["repeats"]:  # rows that repeat an id and a text: the only ones that are grouped as a whole
+        again = several.where("_same > 1").select("_digest")
+        again = F.broadcast(again) if sizes["repeats"] <= FEW_DIGESTS else again
+        whole = out.join(again, "_digest", "left_semi").groupBy("_digest").agg(F.first(F.struct(*df.columns)).alias("_row"))
+        out = out.join(again, "_digest", "left_anti").select(*df.columns).unionByName(whole.select("_row.*"))
+    nothing = keyed.where("_digest is null").orderBy(F.col(id_col).asc_nulls_last()).limit(1)  # null texts are one text
+    return out.select(*df.columns).unionByName(nothing.select(*df.columns))
 
 
 def binarise_label(label: Column, human: str = "human") -> Column:
@@ -275,6 +317,14 @@ def generation_plan(
     return planned.join(numbered, "pick").withColumn("topic", default_topic(F.col("topic"))).drop("pick")
 
 
+def resume_target(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows written to ``path`` so far; none, with the schema, if there is no such target yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def resume_from(existing: DataFrame, id_col: str = "id") -> DataFrame:
     """One row with the highest id written so far; 0 for an empty target."""
     return existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("last_id"))
@@ -288,6 +338,20 @@ def resume_new_rows(existing: DataFrame, incoming: DataFrame, id_col: str, seed:
 
 
 def split_disjoint(train: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
-    """Test rows whose text is in no train row. Both sides are reduced to digests for the match."""
-    seen = train.select(F.sha2(text, 256).alias("_digest")).distinct()
-    return test.withColumn("_digest", F.sha2(text, 256)).join(seen, "_digest", "left_anti").drop("_digest")
+    """Test rows whose text is in no train row; null texts are in none.
+
+    Both sides are reduced to their distinct digests first; what they share is broadcast if it is counted to be few, so
+    test texts are neither shuffled nor sorted. Beyond that they move once, with hot digests dealt over many tasks.
+    """
+    seen = train.select(text_digest(text).alias("_digest")).distinct()
+    counted = test.groupBy(text_digest(text).alias("_digest")).agg(F.count(F.lit(1)).alias("_n"))
+    shared = materialise(counted.join(seen, "_digest", "left_semi"))
+    keyed = test.withColumn("_digest", text_digest(text))
+    if shared.count() <= FEW_DIGESTS:
+        return keyed.join(F.broadcast(shared), "_digest", "left_anti").drop("_digest")
+    places = F.when(F.col("_n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    hot = F.broadcast(shared.where(F.col("_n") > HOT).select("_digest", F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.floor(F.rand(SEED) * SALTS).cast("int")).otherwise(0)
+    dealt = keyed.join(hot, "_digest", "left").withColumn("_salt", salt)
+    spread_out = shared.withColumn("_salt", F.explode(places)).hint("shuffle_hash")
+    return dealt.join(spread_out, ["_digest", "_salt"], "left_anti").drop("_digest", "_salt", "_hot")

@@ -104,3 +104,53 @@ def test_split_disjoint(spark):
     train = spark.createDataFrame([("a",), ("b",), ("b",)], "text string")
     test = spark.createDataFrame([("b",), ("c",), ("c",)], "text string")
     assert [r["text"] for r in prep.split_disjoint(train, test).collect()] == ["c", "c"]
+
+
+SKEWED = [(i, "everywhere" if i % 3 == 0 else f"t{i % 40}", i % 5) for i in range(600)]
+ODD = [(None, None, 7), (9001, None, 8), (9000, None, 9), (None, "everywhere", 1), (3, "everywhere", 3), (0, "everywhere", 0), (None, "only", 2)]
+
+
+def first_of_each(rows):
+    best = {}
+    for i, text, x in rows:
+        if text not in best or (i is not None and (best[text][0] is None or i < best[text][0])):
+            best[text] = (i, text, x)
+    return sorted(best.values(), key=repr)
+
+
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_dedupe_of_a_text_in_a_third_of_the_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(prep, "FEW_DIGESTS", few)
+    monkeypatch.setattr(prep, "HOT", 50)
+    df = spark.createDataFrame(SKEWED + ODD, "doc_id long, text string, x int").repartition(4)
+    kept = prep.dedupe_exact(df, "doc_id")
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == first_of_each(SKEWED + ODD)
+    plan = prep.dedupe_exact(spark.createDataFrame(SKEWED, df.schema).repartition(4), "doc_id")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "Sort [text" not in text
+    if few:
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_split_disjoint_with_a_text_in_a_third_of_both_sides(spark, monkeypatch, few):
+    monkeypatch.setattr(prep, "FEW_DIGESTS", few)
+    monkeypatch.setattr(prep, "HOT", 50)
+    schema = "doc_id long, text string, x int"
+    train = spark.createDataFrame([r for r in SKEWED if r[2] < 3], schema).repartition(3)
+    rows = SKEWED + ODD + [(7, "new", 1), (7, "new", 1)]
+    found = prep.split_disjoint(train, spark.createDataFrame(rows, schema).repartition(3))
+    seen = {r[1] for r in SKEWED if r[2] < 3}
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted((r for r in rows if r[1] not in seen), key=repr)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resume_from_a_target_that_is_not_there(spark, tmp_path):
+    incoming = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    target = prep.resume_target(spark, f"{tmp_path}/none", incoming.schema)
+    assert prep.resume_from(target).first()["last_id"] == 0
+    assert prep.resume_new_rows(target, incoming, "id").count() == 5
+    incoming.where("id < 3").write.parquet(f"{tmp_path}/some")
+    target = prep.resume_target(spark, f"{tmp_path}/some", incoming.schema)
+    assert sorted(r["new_id"] for r in prep.resume_new_rows(target, incoming, "id").collect()) == [3, 4]
