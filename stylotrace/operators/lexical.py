@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stylotrace.fixed_values import TFIDF_PRESETS
 from stylotrace.functions import text as T
 from stylotrace.session import materialise
 
 MAX_BROADCAST_TERMS = 100_000
+MAX_LISTED_TERMS = 20_000  # terms that may be listed in a plan
 
 
 def grams(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -63,8 +64,35 @@ class TfidfModel:
     stop_words: list[str]
     sublinear: bool
 
+    def _in_row(self, df: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+        """``df`` with the known terms of each text counted in its row, and what is known of them.
+
+        The vocabulary is a sorted list that goes along with the plan; a term's place in it is its index. ``at`` and
+        ``tf`` list the places and counts of a text's terms, ``w`` their weights before and ``unit`` after the norm.
+        """
+        rows = self.terms.orderBy("term").collect()  # at most MAX_LISTED_TERMS
+        counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="_grams", outputCol="_counts")
+        counted = counter.transform(df.withColumn("_grams", grams(F.col(text), self.stop_words))).drop("_grams")
+        counted = counted.withColumn("_counts", F.unwrap_udt("_counts"))
+        listed = lambda c: F.array(*[F.lit(r[c]) for r in rows])
+        damped = lambda tf: F.lit(1.0) + F.log(tf) if self.sublinear else tf
+        weights = F.zip_with("_counts.indices", "_counts.values", lambda i, tf: damped(tf) * F.get(listed("idf"), i))
+        counted = counted.withColumn("_w", weights)
+        counted = counted.withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w)))
+        return counted, {"at": F.col("_counts.indices"), "tf": F.col("_counts.values"), "term": listed("term"), "term_id": listed("term_id")}
+
     def transform(self, df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-        """Long relation (document, term_id, term, weight), rows of unit norm; unknown terms are dropped."""
+        """Long relation (document, term_id, term, tf, weight), rows of unit norm; unknown terms are dropped.
+
+        Nothing is shuffled as long as the vocabulary can be listed; beyond that its terms are joined.
+        """
+        if 0 < self.size <= MAX_LISTED_TERMS:
+            counted, known = self._in_row(df.select(id_col, text), text)
+            entry = lambda i, k: F.struct(
+                F.get(known["term_id"], i).alias("term_id"), F.get(known["term"], i).alias("term"),
+                F.get(known["tf"], k).cast("bigint").alias("tf"), (F.get("_w", k) / F.col("_norm")).alias("weight"),
+            )
+            return counted.select(id_col, F.inline(F.transform(known["at"], entry)))
         known = self.terms.select("term_id", "term", "idf")
         if self.size <= MAX_BROADCAST_TERMS:
             known = F.broadcast(known)
@@ -77,21 +105,19 @@ class TfidfModel:
         return raw.select(id_col, "term_id", "term", "tf", (F.col("_w") / norm).alias("weight"))
 
     def vectors(self, df: DataFrame, text: str = "text", out: str = "features") -> DataFrame:
-        """The same weights as one sparse ML vector per row, computed in place without a shuffle."""
-        rows = self.terms.orderBy("term_id").collect()  # max_features rows
-        counter = CountVectorizerModel.from_vocabulary(
-            [r["term"] for r in rows], inputCol="_grams", outputCol="_tf"
-        )
-        counted = counter.transform(df.withColumn("_grams", grams(F.col(text), self.stop_words)))
-        if self.sublinear:
-            damped = F.transform(vector_to_array("_tf"), lambda x: F.when(x > 0, 1.0 + F.log(x)).otherwise(0.0))
-            counted = counted.withColumn("_tf", array_to_vector(damped))
-        idf = Vectors.dense([r["idf"] for r in rows])
-        scaled = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_scaled").transform(counted)
-        unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit").transform(scaled)
-        # The assembler stores whichever of the dense and sparse forms is smaller.
-        packed = VectorAssembler(inputCols=["_unit"], outputCol=out).transform(unit)
-        return packed.drop("_grams", "_tf", "_scaled", "_unit")
+        """The same weights as one sparse ML vector per row, by place in the sorted vocabulary, without a shuffle.
+
+        A vector is made from its indices and values alone and is never as long as the vocabulary. Spark has no function
+        for that, but its JSON reader makes vectors out of their fields.
+        """
+        if not 0 < self.size <= MAX_LISTED_TERMS:
+            raise ValueError(f"vectors need a vocabulary of 1 to {MAX_LISTED_TERMS} terms")
+        counted, known = self._in_row(df, text)
+        unit = F.transform("_w", lambda w: w / F.col("_norm"))
+        fields = F.struct(F.lit(0).alias("type"), F.lit(self.size).alias("size"), known["at"].alias("indices"), unit.alias("values"))
+        kind = StructType([StructField("v", VectorUDT())])
+        packed = F.from_json(F.to_json(F.struct(fields.alias("v"))), kind)["v"]
+        return counted.withColumn(out, packed).drop("_counts", "_w", "_norm")
 
 
 def smooth_idf(df_col: Column, n_docs: int) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,6 +31,7 @@ from stylotrace.operators.lexical import TfidfModel, fit_tfidf
 from stylotrace.operators.sampling import with_class_weights
 from stylotrace.operators.surface import surface_features, surface_features_v1
 from stylotrace.operators.syntax import syntactic_features
+from stylotrace.session import materialise
 
 MAX_DEPTH = 30  # the deepest trees Spark ML grows
 
@@ -239,10 +242,13 @@ def _featurise(df: DataFrame, spec: DetectorSpec, tfidf: TfidfModel | None, scal
     return scaler.transform(wide, SCALED) if scaler else wide
 
 
-def fit_detector(train: DataFrame, spec: DetectorSpec) -> Detector:
-    """``train`` has ``doc_id``, ``y`` and ``text`` or the feature columns."""
+def fit_detector(train: DataFrame, spec: DetectorSpec, tfidf: TfidfModel | None = None) -> Detector:
+    """``train`` has ``doc_id``, ``y`` and ``text`` or the feature columns. ``tfidf`` spares fitting the vocabulary again."""
     preset = spec.classifier_preset()
-    tfidf = fit_tfidf(train, **TFIDF_PRESETS[spec.tfidf]) if spec.features == "tfidf" else None
+    if spec.features == "tfidf":
+        tfidf = tfidf or fit_tfidf(train, **TFIDF_PRESETS[spec.tfidf])
+    else:
+        tfidf = None
     scaler = None
     if spec.standardise:
         scaler = fit_standardiser(family_features(train, spec.features), family_columns(spec.features))
@@ -259,3 +265,42 @@ def fit_detector(train: DataFrame, spec: DetectorSpec) -> Detector:
         # Balanced weights add up to the number of rows.
         stages.append(logistic_regression(preset, float(train.count())))
     return Detector(spec, Pipeline(stages=stages).fit(ready), tfidf, scaler)
+
+
+def with_families(df: DataFrame, specs: Iterable[DetectorSpec], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add the columns of every feature family that the detectors read, each family once, and store the rows."""
+    for kind in sorted({s.features for s in specs} - {"tfidf"}):
+        df = family_features(df, kind, id_col, text)
+    return materialise(df)
+
+
+def fit_detectors(train: DataFrame, specs: dict[str, DetectorSpec], side_by_side: int = 5) -> dict[str, Detector]:
+    """Fit several detectors on rows of ``with_families``, side by side; detectors of one TF-IDF preset share its fit."""
+    presets = sorted({s.tfidf for s in specs.values() if s.features == "tfidf"})
+    fitted = {p: fit_tfidf(train, **TFIDF_PRESETS[p]) for p in presets}
+    one = inheritable_thread_target(train.sparkSession)(lambda s: fit_detector(train, s, fitted.get(s.tfidf)))
+    with ThreadPoolExecutor(max_workers=side_by_side) as pool:
+        return dict(zip(specs, pool.map(one, specs.values()), strict=True))
+
+
+def score_together(df: DataFrame, detectors: dict[str, Detector], keep: Sequence[str]) -> DataFrame:
+    """``keep``, ``method`` and ``p`` for every row of ``with_families`` and every detector, in one pass over the rows.
+
+    Each row is turned into the inputs of each family once; the detectors add their probabilities to it one after the
+    other, and the row leaves as an array of (method, p).
+    """
+    scored, vectors = df, {}
+    for k, (name, d) in enumerate(detectors.items()):
+        own = set(scored.columns)
+        if d.tfidf is not None:
+            if id(d.tfidf) not in vectors:
+                vectors[id(d.tfidf)] = f"tfidf__{k}"
+                scored = d.tfidf.vectors(scored, out=f"tfidf__{k}")
+                own.add(f"tfidf__{k}")
+            ready = scored.withColumn("features", F.col(vectors[id(d.tfidf)]))
+        else:
+            ready = _featurise(scored, d.spec, None, d.scaler)
+        found = d.pipeline.transform(ready).withColumn(f"p__{k}", vector_to_array("probability")[1])
+        scored = found.select(*[c for c in found.columns if c in own or c == f"p__{k}"])
+    rows = F.array(*[F.struct(F.lit(n).alias("method"), F.col(f"p__{k}").alias("p")) for k, n in enumerate(detectors)])
+    return scored.select(*keep, F.inline(rows))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,10 +40,10 @@ def pos_compression(tokens: DataFrame) -> DataFrame:
     return tags.select("doc_id", _deflate_ratio(line).alias("cr_pos"))
 
 
-def _counted_events(tokens: DataFrame) -> DataFrame:
+def _counted_events(tokens: DataFrame, carry: Sequence[str]) -> DataFrame:
     """How often each sentence, lemma, mark, gap and trigram occurs: (doc_id, kind, key, tag, n, ...).
 
-    ``tag`` is the last tag of a trigram. The first two content tokens of a document have an
+    A row without a token (see ``raw_tokens``) is an event of no kind, which keeps its document. ``tag`` is the last tag of a trigram. The first two content tokens of a document have an
     incomplete trigram, so that tags can be counted from the same rows.
     """
     order = Window.partitionBy("doc_id").orderBy("pos")
@@ -86,17 +87,18 @@ def _counted_events(tokens: DataFrame) -> DataFrame:
         F.when(content, event(F.lit("trigram"), trigram, F.col("upos"))),
         F.when(F.col("_gap").isNotNull(), event(F.lit("gap"), F.col("_gap"))),
     )
-    exploded = numbered.select("doc_id", F.explode(events).alias("e")).where("e is not null")
+    events = F.when(F.col("pos").isNull(), F.array(event(none, none))).otherwise(events)
+    exploded = numbered.select("doc_id", *carry, F.explode(events).alias("e")).where("e is not null")
     sums = [F.sum(c).alias(c) for c in ("words", "forms", "passives", "verbs")]
-    counted = exploded.select("doc_id", "e.*").groupBy("doc_id", "kind", "key", "tag")
+    counted = exploded.select("doc_id", *carry, "e.*").groupBy("doc_id", *carry, "kind", "key", "tag")
     return counted.agg(F.count(F.lit(1)).alias("n"), *sums, F.max("depth").alias("depth"))
 
 
-def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> DataFrame:
-    """The features per document that has tokens. Pure function of the token relation."""
+def features_from_tokens(tokens: DataFrame, with_compression: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """The features per document of the token relation, and the columns that its tokens ``carry``."""
     n, gap = F.col("n"), F.col("key").cast("double")
     # Per kind and, for trigrams, per tag: everything that looks at single keys.
-    kinds = _counted_events(tokens).groupBy("doc_id", "kind", "tag").agg(
+    kinds = _counted_events(tokens, carry).groupBy("doc_id", *carry, "kind", "tag").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("keys"),
         F.count("key").alias("full_keys"),
@@ -114,7 +116,7 @@ def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> Da
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
 
     tag_n = F.when(F.col("kind") == "trigram", n)
-    agg = kinds.groupBy("doc_id").agg(
+    agg = kinds.groupBy("doc_id", *carry).agg(
         *[
             F.max(F.when(F.col("kind") == "sentence", F.col(source))).alias(name)
             for name, source in (("avg_sent_len", "mean_words"), ("burstiness", "std_words"), ("avg_dep_depth", "mean_depth"))
@@ -140,6 +142,7 @@ def features_from_tokens(tokens: DataFrame, with_compression: bool = True) -> Da
     gap_std = F.sqrt(F.greatest(F.col("_gap_squares") / F.col("_gaps") - mean_gap * mean_gap, F.lit(0.0)))
     out = agg.select(
         "doc_id",
+        *carry,
         "avg_sent_len",
         "burstiness",
         entropy_bits(F.col("_marks"), F.col("_marks_n_log_n")).alias("punct_entropy"),
@@ -168,13 +171,27 @@ def syntactic_features(
     lang: str | None = "lang",
     with_compression: bool = True,
     annotate=token_relation,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``id_col`` and the features of every row; short, null and token-free texts get zeros."""
-    usable = df.where(F.char_length(T.strip(F.col(text))) >= MIN_CHARS)
-    found = features_from_tokens(annotate(usable, id_col, text, lang), with_compression)
+    """``id_col``, the columns to ``keep`` and the features of every row; short, null and token-free texts get zeros.
+
+    With the built-in annotator every row, also one that repeats an id, is counted on its own: ids and kept columns go
+    along with the tokens, and a text without any leaves one row, so nothing is joined back. A parser of the user's own
+    returns tokens only; they are joined to the rows by id.
+    """
+    enough = F.char_length(T.strip(F.col(text))) >= MIN_CHARS
     names = [f for f in SYNTACTIC_FEATURES if with_compression or f != "cr_pos"]
-    return (
-        df.select(F.col(id_col).alias("doc_id"))
-        .join(found, "doc_id", "left")
-        .select(F.col("doc_id").alias(id_col), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in names])
+    filled = [F.coalesce(f, F.lit(0.0)).alias(f) for f in names]
+    if annotate is not token_relation:
+        found = features_from_tokens(annotate(df.where(enough), id_col, text, lang), with_compression)
+        rows = df.select(F.col(id_col).alias("doc_id"), *keep).join(found, "doc_id", "left")
+        return rows.select(F.col("doc_id").alias(id_col), *keep, *filled)
+    carried = [f"_carry{k}" for k in range(1 + len(keep))]
+    rows = df.select(
+        F.monotonically_increasing_id().alias("_row"),
+        *[F.col(c).alias(name) for c, name in zip([id_col, *keep], carried, strict=True)],
+        (F.col(lang) if lang else F.lit("en")).alias("lang"),
+        F.when(enough, F.col(text)).alias("text"),
     )
+    found = features_from_tokens(token_relation(rows, "_row", "text", "lang", carried, outer=True), with_compression, carried)
+    return found.select(*[F.col(c).alias(name) for c, name in zip(carried, [id_col, *keep], strict=True)], *filled)

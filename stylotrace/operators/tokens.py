@@ -6,7 +6,7 @@ below is keyed by the document and reuses that partitioning, so token rows are n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,16 +33,25 @@ def lexical_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return df.select(id_col, F.posexplode(T.lexical_tokens(F.col(text))).alias("pos", "token"))
 
 
-def raw_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """Word runs and single symbols with their position; null texts have none."""
+def raw_tokens(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang",
+    carry: Sequence[str] = (), outer: bool = False,
+) -> DataFrame:
+    """Word runs and single symbols with their position; null texts have none.
+
+    ``carry`` names small columns that go along with every token. With ``outer`` a text without tokens has one row whose
+    position and text are null.
+    """
     language = F.coalesce(F.col(lang), F.lit("en")) if lang else F.lit("en")
     # A fixed number of partitions: texts grow about twentyfold as token rows, so merging small
     # partitions by the size of the texts would be wrong.
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = df.select(F.col(id_col).alias("doc_id"), language.alias("lang"), F.col(text).alias("_text")).repartition(
-        partitions, "doc_id"
-    )
-    return by_doc.select("doc_id", "lang", F.posexplode(T.extract_all(F.col("_text"), T.ANY_TOKEN)).alias("pos", "text"))
+    by_doc = df.select(
+        F.col(id_col).alias("doc_id"), language.alias("lang"), *carry, F.col(text).alias("_text")
+    ).repartition(partitions, "doc_id")
+    found = T.extract_all(F.col("_text"), T.ANY_TOKEN)
+    listed = F.posexplode_outer(found) if outer else F.posexplode(found)
+    return by_doc.select("doc_id", "lang", *carry, listed.alias("pos", "text"))
 
 
 def sentence_ids(tokens: DataFrame) -> DataFrame:
@@ -165,10 +174,13 @@ def heads_and_depths(tokens: DataFrame) -> DataFrame:
     )
 
 
-def token_relation(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """One annotated row per token of every text, by the built-in rule annotator."""
-    tokens = part_of_speech(sentence_ids(raw_tokens(df, id_col, text, lang)))
-    return heads_and_depths(tokens).select(*TOKEN_COLUMNS)
+def token_relation(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang",
+    carry: Sequence[str] = (), outer: bool = False,
+) -> DataFrame:
+    """One annotated row per token of every text, by the built-in rule annotator. ``carry`` and ``outer`` as above."""
+    tokens = part_of_speech(sentence_ids(raw_tokens(df, id_col, text, lang, carry, outer)))
+    return heads_and_depths(tokens).select(*TOKEN_COLUMNS, *carry)
 
 
 def annotate_with(

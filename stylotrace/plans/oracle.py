@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stylotrace.fixed_values import (
+    ABLATION_GROUPS,
     BASELINE_EXPERIMENTS,
     DATELINE_PATTERNS,
     GENERATOR_LENGTHS,
@@ -10,10 +11,12 @@ from stylotrace.fixed_values import (
     GENERATOR_STYLES,
     SURFACE_FEATURES,
     SURFACE_FEATURES_V1,
+    SYNTACTIC_FEATURES,
 )
 from stylotrace.operators import lexicon as lx
+from stylotrace.operators.models import DETECTORS
 from stylotrace.operators.syntax import SUMMED_FEATURES
-from stylotrace.plans.queries import SCENARIOS, SQL_GROUPS, SQL_RULES, SQL_STABILITY, SQL_SYNTACTIC, STOP_WORDS
+from stylotrace.plans.queries import RUN_NAMES, SCENARIOS, SQL_GROUPS, SQL_RULES, SQL_STABILITY, SQL_SYNTACTIC, STOP_WORDS
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -534,10 +537,10 @@ ORACLE_SQL["prevalence"] = f"WITH {CONV} SELECT round(avg(y), 6) AS prevalence F
 _runs = (
     f"{CONV}, {SPLIT}, {surface_cte('split', keep=', y, split')}, {discriminant('surf', SURFACE_FEATURES, 'doc_id, y', '_a')}, "
     f"{discriminant('surf', SURFACE_FEATURES[:5], 'doc_id, y', '_b')}, "
-    "runs AS (SELECT 'stylo_rf' AS experiment, y, p FROM scored_a UNION ALL SELECT 'stylo_logreg', y, p FROM scored_b), "
+    "runs AS (SELECT 'discriminant' AS experiment, y, p FROM scored_a UNION ALL SELECT 'discriminant_5', y, p FROM scored_b), "
     + metrics("runs", "experiment")
 )
-_names = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in BASELINE_EXPERIMENTS.items())
+_names = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in RUN_NAMES.items())
 _named = f"experiment, CASE experiment {_names} END AS name"
 ORACLE_SQL["run_store"] = f"WITH {_runs} SELECT {_named}, {_five}, n_rows FROM met"
 ORACLE_SQL["final_report"] = f"WITH {_runs} SELECT {_named}, round(accuracy, 5) AS accuracy, round(auc_roc, 5) AS auc_roc FROM met"
@@ -714,3 +717,28 @@ WITH {CONV}, both_rows AS (SELECT doc_id, y, text, 'train' AS split FROM conv UN
 {surface_cte('both_rows', keep=', y, split')}, {discriminant('surf', SURFACE_FEATURES, 'doc_id')}
 SELECT doc_id, round(p, 6) AS p, CASE WHEN p >= 0.5 THEN 'AI-Generated' ELSE 'Human-Written' END AS verdict,
   CASE WHEN p > 0.85 OR p < 0.15 THEN 'High' WHEN p > 0.70 OR p < 0.30 THEN 'Medium' ELSE 'Low' END AS confidence_level FROM scored"""
+
+
+# Properties that hold for every row ------------------------------------------------------------
+
+ORACLE_SQL["shapley_forest_sums"] = f"""
+WITH {CONV}, {SPLIT} SELECT doc_id, {len(SURFACE_FEATURES)}::BIGINT AS n_features, true AS adds_up FROM split WHERE split = 'test'"""
+ORACLE_SQL["stream_explained"] = "SELECT doc_id, true AS as_in_batch FROM documents"
+
+
+def listed(values, name: str) -> str:
+    return f"unnest([{', '.join(map(q, values))}]) AS {name}"
+
+
+_base_names = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in BASELINE_EXPERIMENTS.items())
+ORACLE_SQL["baseline_runs"] = f"""
+WITH {CONV}, {SPLIT}, n AS (SELECT count(*) AS n_rows FROM split WHERE split = 'test'), e AS (SELECT {listed(BASELINE_EXPERIMENTS, 'experiment')})
+SELECT experiment, CASE experiment {_base_names} END AS name, n_rows, true AS better_than_chance FROM e, n"""
+ORACLE_SQL["scenario_grid"] = f"""
+WITH {SHIFT}, {ranked('home', "(SELECT doc_id, y FROM shift WHERE scenario = 'in_domain')", 'y')},
+n AS (SELECT scenario, count(*) AS n_rows FROM shift LEFT JOIN (SELECT doc_id, rk > round(total * 0.2) AS train FROM home) USING (doc_id)
+      WHERE train IS NULL OR NOT train GROUP BY scenario), m AS (SELECT {listed(DETECTORS, 'method')})
+SELECT scenario, method, n_rows, true AS proper, true AS home_is_base FROM n, m"""
+ORACLE_SQL["ablate_one_forest"] = f"SELECT {listed(SYNTACTIC_FEATURES, 'subset')}, true AS proper, true AS band_follows"
+ORACLE_SQL["ablate_group_forest"] = f"SELECT {listed(ABLATION_GROUPS, 'subset')}, true AS proper, true AS band_follows"
+ORACLE_SQL["refit_forest"] = "SELECT true AS f1, true AS auc_roc, true AS accuracy, 2::BIGINT AS n_fits"

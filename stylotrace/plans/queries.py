@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +20,12 @@ from stylotrace.fixed_values import (
 )
 from stylotrace.functions.numbers import sanitise
 from stylotrace.operators import evaluate, explain, lexical, models, prep, sampling, stats, syntax, tokens
+from stylotrace.operators.attribution import tree_attribution
 from stylotrace.operators.surface import surface_features, surface_features_v1
 from stylotrace.plans import ablation, robustness, validation
 from stylotrace.plans.closed_form import fit_discriminant
 from stylotrace.session import materialise, shared_dir, spread
-from stylotrace.sources import corpora, stores
+from stylotrace.sources import corpora, published, stores
 from stylotrace.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,9 +82,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def conversation_features(spark: SparkSession, sf: str, with_compression: bool = False) -> DataFrame:
-    rows = conversations(spark, sf)
-    found = syntax.syntactic_features(rows, lang=None, with_compression=with_compression)
-    return rows.select("doc_id", "y").join(found, "doc_id")
+    return syntax.syntactic_features(conversations(spark, sf), lang=None, with_compression=with_compression, keep=("y",))
 
 
 def split_features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -295,22 +296,24 @@ def feature_store(spark, sf):
     return rounded(stored.select("doc_id", *SURFACE_FEATURES), *SURFACE_FEATURES)
 
 
-def _closed_form_runs(spark, sf) -> dict[str, tuple[str, DataFrame]]:
-    rows = surface_features(sampling.stratified_split(conversations(spark, sf), "doc_id", "y")).drop("text")
-    rows = materialise(rows)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    return {
-        "stylo_rf": fit_discriminant(train, SURFACE_FEATURES).transform(test),
-        "stylo_logreg": fit_discriminant(train, SURFACE_FEATURES[:5]).transform(test),
-    }
+CLOSED_FORM_RUNS = {
+    "discriminant": ("Surface features + diagonal discriminant", SURFACE_FEATURES),
+    "discriminant_5": ("Five surface features + diagonal discriminant", SURFACE_FEATURES[:5]),
+}
+RUN_NAMES = {run: name for run, (name, _) in CLOSED_FORM_RUNS.items()}
 
 
 @query
 def run_store(spark, sf):
+    """Two runs of the closed-form scorer, stored under their own names and read back."""
+    rows = surface_features(sampling.stratified_split(conversations(spark, sf), "doc_id", "y")).drop("text")
+    rows = materialise(rows)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     base = shared_dir(spark, "runs")
-    for name, scored in _closed_form_runs(spark, sf).items():
-        stores.save_run(base, name, evaluate.metric_rows(scored), scored.select("doc_id", "y", "p"))
-    return stores.load_runs(spark, base, BASELINE_EXPERIMENTS)
+    for run, (_, features) in CLOSED_FORM_RUNS.items():
+        scored = fit_discriminant(train, features).transform(test)
+        stores.save_run(base, run, evaluate.metric_rows(scored), scored.select("doc_id", "y", "p"))
+    return stores.load_runs(spark, base, RUN_NAMES)
 
 
 @query
@@ -318,6 +321,23 @@ def final_report(spark, sf):
     return robustness.final_report(run_store(spark, sf)).select("experiment", "name", "accuracy", "auc_roc")
 
 
+@query
+def baseline_runs(spark, sf):
+    """The single experiments with their own presets, each fitted, stored under its name and reported."""
+    split = materialise(models.with_families(
+        sampling.stratified_split(conversations(spark, sf), "doc_id", "y"), models.NOTEBOOK_DETECTORS.values()
+    ))
+    fitted = models.fit_detectors(split.where("split = 'train'"), models.NOTEBOOK_DETECTORS)
+    base = shared_dir(spark, "runs")
+    scored = materialise(models.score_together(split.where("split = 'test'"), fitted, ["doc_id", "y"]))
+    for run in fitted:
+        mine = scored.where(F.col("method") == run)
+        stores.save_run(base, run, evaluate.metric_rows(mine), mine.select("doc_id", "y", "p"))
+    report = robustness.final_report(stores.load_runs(spark, base, BASELINE_EXPERIMENTS))
+    better = (F.col("accuracy") > 0.5) & (F.col("auc_roc") > 0.5) & (F.col("auc_roc") <= 1)
+    return report.select("experiment", "name", "n_rows", better.alias("better_than_chance"))
+
+
 # Tokens and features ---------------------------------------------------------------------------
 
 
@@ -510,8 +530,7 @@ def score_kde(spark, sf):
 @query
 def feature_stability(spark, sf):
     rows = shift_corpus(spark, sf)
-    features = syntax.syntactic_features(rows, with_compression=False)
-    joined = materialise(rows.select("doc_id", "y", "scenario").join(features, "doc_id"))
+    joined = materialise(syntax.syntactic_features(rows, with_compression=False, keep=("y", "scenario")))
     found = robustness.feature_stability(
         joined.where("scenario = 'in_domain'"), joined.where("scenario = 'domain_shift'"), SQL_STABILITY
     )
@@ -644,18 +663,34 @@ def coefficients(spark, sf):
     return rounded(models.fit_detector(train, models.DETECTORS["stylo_logreg"]).weights(spark), "weight")
 
 
-@query
-def shapley_forest(spark, sf):
-    """Sampled attributions of up to 500 held-out rows (the size of the sample is part of the method)."""
+def _forest_attribution(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Exact attributions of all held-out rows by the surface forest, and the detector's own probabilities."""
     split = materialise(
         surface_features(sampling.stratified_split(conversations(spark, sf), "doc_id", "y")).drop("text")
     )
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    spec = models.DETECTORS["stylo_rf"]
-    fitted = models.fit_detector(train, spec)
-    sample = sampling.sample_per_class(test.withColumn("_one", F.lit(1)), "doc_id", "_one", 500)
-    found = explain.permutation_attribution(sample, train, fitted.classifier, SURFACE_FEATURES)
-    return rounded(explain.mean_attribution(found), "mean_abs", "mean")
+    fitted = models.fit_detector(train, models.DETECTORS["stylo_rf"])
+    inputs = models.family_columns("surface")
+    found = tree_attribution(models.family_features(test, "surface"), fitted.classifier, inputs)
+    plain = F.substring_index("feature", "__", -1)
+    return found.withColumn("feature", plain), fitted.predict(test, keep=["doc_id"])
+
+
+@query
+def shapley_forest(spark, sf):
+    """Exact path-dependent attributions of the surface forest over all held-out rows."""
+    return rounded(explain.mean_attribution(_forest_attribution(spark, sf)[0]), "mean_abs", "mean")
+
+
+@query
+def shapley_forest_sums(spark, sf):
+    """Per held-out row: do the attributions and the forest's mean add up to the detector's probability?"""
+    found, predicted = _forest_attribution(spark, sf)
+    sums = found.groupBy("doc_id").agg(
+        F.sum("contribution").alias("c"), F.max("base").alias("base"), F.count("feature").alias("n_features")
+    )
+    off = F.abs(F.col("c") + F.col("base") - F.col("p"))
+    return sums.join(predicted.select("doc_id", "p"), "doc_id").select("doc_id", "n_features", (off < 1e-9).alias("adds_up"))
 
 
 # Explanation -----------------------------------------------------------------------------------
@@ -762,6 +797,27 @@ def scenarios(spark, sf):
     return scenario_rows(spark, sf)
 
 
+def _grid(spark, sf) -> DataFrame:
+    """Metrics of all five detectors in all three scenarios; trained on the home scenario, one token pass."""
+    rows = shift_corpus(spark, sf).select("doc_id", "y", "scenario", "lang", "text")
+    wide = models.with_families(rows, models.DETECTORS.values())
+    home = sampling.stratified_split(wide.where("scenario = 'in_domain'").select("doc_id", "y"), "doc_id", "y")
+    parts = materialise(wide.join(home.select("doc_id", "split"), "doc_id", "left"))
+    fitted = models.fit_detectors(parts.where("split = 'train'"), models.DETECTORS)
+    test = parts.where("split is null or split = 'test'")
+    return robustness.evaluate_scenarios(models.score_together(test, fitted, ["scenario", "y"]))
+
+
+@query
+def scenario_grid(spark, sf):
+    """Five detectors by three scenarios: what was counted, and whether the metrics are proper."""
+    proper = functools.reduce(operator.and_, [F.col(m).between(0, 1) for m in ("accuracy", "precision", "recall", "f1", "auc_roc", "ap")])
+    rows = materialise(_grid(spark, sf))
+    drops = robustness.degradation(rows, "in_domain", ["f1"]).select("scenario", "method", "delta_f1")
+    home = (F.col("scenario") != "in_domain") | (F.col("delta_f1") == 0)
+    return rows.join(drops, ["scenario", "method"]).select("scenario", "method", "n_rows", proper.alias("proper"), home.alias("home_is_base"))
+
+
 @query
 def scenario_pivot(spark, sf):
     return robustness.pivot_metrics(scenario_rows(spark, sf), SCENARIOS)
@@ -831,13 +887,43 @@ def control_check(spark, sf):
     return rounded(found, "accuracy", "precision", "recall", "f1", "auc_roc", "delta_f1", "delta_auc")
 
 
+def _forest_ablation(spark, sf):
+    """Forests of the study's own preset, refitted for every subset, over all 15 features."""
+    split = materialise(sampling.stratified_split(conversation_features(spark, sf, with_compression=True), "doc_id", "y"))
+    return ablation.ForestEstimator(split.where("split = 'train'"), SYNTACTIC_FEATURES), split.where("split = 'test'")
+
+
+def _impacts(rows: DataFrame) -> DataFrame:
+    """What can be said of refitted forests without repeating them: sizes, ranges and bands that follow from the deltas."""
+    fits = (F.col("f1").between(0, 1)) & (F.col("auc_roc").between(0, 1)) & (F.abs(F.col("delta_f1")) <= 1)
+    band = (F.col("impact") == "none") == (F.col("delta_f1") >= 0)
+    return rows.select("subset", fits.alias("proper"), band.alias("band_follows"))
+
+
+@query
+def ablate_one_forest(spark, sf):
+    return _impacts(ablation.leave_one_out(*_forest_ablation(spark, sf), SYNTACTIC_FEATURES))
+
+
+@query
+def ablate_group_forest(spark, sf):
+    return _impacts(ablation.leave_group_out(*_forest_ablation(spark, sf), SYNTACTIC_FEATURES, ABLATION_GROUPS))
+
+
 @query
 def control_check_forest(spark, sf):
-    """The same check with refitted forests (30 trees)."""
-    train, test = split_features(spark, sf)
-    preset = {"trees": 30, "depth": 10, "leaf": 1, "balanced": True}
-    estimator = ablation.ForestEstimator(train, SQL_SYNTACTIC, preset)
-    return rounded(ablation.control_check(estimator, test, SQL_SYNTACTIC), "accuracy", "f1", "auc_roc", "delta_f1", "delta_auc")
+    """The same check with refitted forests at the study's preset."""
+    found = ablation.control_check(*_forest_ablation(spark, sf), SYNTACTIC_FEATURES)
+    return rounded(found, "accuracy", "f1", "auc_roc", "delta_f1", "delta_auc")
+
+
+@query
+def refit_forest(spark, sf):
+    """The same subset fitted twice, side by side: all metrics are equal, so every delta is due to the features."""
+    estimator, test = _forest_ablation(spark, sf)
+    rows = ablation.subset_metrics(estimator, test, {"full": list(SYNTACTIC_FEATURES), "again": list(SYNTACTIC_FEATURES)})
+    spread = [(F.max(m) - F.min(m) == 0).alias(m) for m in ("f1", "auc_roc", "accuracy")]
+    return rows.agg(*spread, F.count(F.lit(1)).alias("n_fits"))
 
 
 # Streams ---------------------------------------------------------------------------------------
@@ -879,6 +965,20 @@ def stream_progress(spark, sf):
     totals = jobs.progress(jobs.gate(_stream_of_documents(spark, sf), letter=LATIN_LETTER))
     out = shared_dir(spark, "totals")
     jobs.keep_totals(totals, out, shared_dir(spark, "resume")).awaitTermination()
-    return spark.read.parquet(out)
+    return published.latest(spark, out)
+
+
+@query
+def stream_explained(spark, sf):
+    """The core detector, stored and loaded again, explains all documents as they arrive; batch and stream agree."""
+    train = materialise(conversation_features(spark, sf, with_compression=True))
+    path, out = shared_dir(spark, "model"), shared_dir(spark, "explained")
+    models.fit_detector(train, models.DETECTORS["core"]).save(path)
+    jobs.explain_arriving(_stream_of_documents(spark, sf), path, out, shared_dir(spark, "resume")).awaitTermination()
+    streamed = published.all_versions(spark, out).select("doc_id", "verdict", "probability", "confidence_level", "reasons")
+    whole = jobs.explained(table(spark, sf, "documents"), models.load_detector(spark, path))
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("verdict", "probability", "confidence_level", "reasons")]
+    both = whole.alias("b").join(streamed.alias("s"), "doc_id", "full")
+    return both.select("doc_id", functools.reduce(operator.and_, same).alias("as_in_batch"))
 
 

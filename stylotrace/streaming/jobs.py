@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from stylotrace.fixed_values import CYRILLIC_LETTER
-from stylotrace.operators.explain import confidence, verdict
+from stylotrace.fixed_values import CYRILLIC_LETTER, SYNTACTIC_FEATURES
+from stylotrace.operators.explain import confidence, predict_with_explanation, verdict
+from stylotrace.operators.models import Detector, load_detector, numeric_features
 from stylotrace.operators.prep import length_columns, quality_gate, strip_echoed_title
 from stylotrace.operators.surface import surface_features
 from stylotrace.plans.closed_form import Discriminant
+from stylotrace.session import materialise
+from stylotrace.sources.published import publish
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -47,13 +50,47 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).outputMode("append").start()
 
 
+def _each_batch(stream: DataFrame, write, checkpoint: str, mode: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).outputMode(mode).start()
+
+
 def keep_totals(totals: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the latest totals in a small Parquet table, replaced after every batch."""
+    """Publish the totals after every batch as the version with the batch's number; ``published.latest`` reads them.
+
+    Readers see the totals after some whole batch, never a table that is being replaced.
+    """
+
+    def replace(batch: DataFrame, number: int) -> None:
+        publish(batch, path, number)
+
+    return _each_batch(totals, replace, checkpoint, "complete", available_now)
+
+
+def explained(texts: DataFrame, detector: Detector, threshold: float = 0.5) -> DataFrame:
+    """Verdict, probability, confidence, reasons and fired signals of texts, by a fitted detector.
+
+    The token job and the surface features run on the texts themselves. Explanations always look at the syntactic
+    features, whatever the detector's own inputs are; columns of the texts do not come back but for ``doc_id``.
+    """
+    ready = numeric_features(texts.select("doc_id", "text", *[c for c in ("lang",) if c in texts.columns]), "syntactic")
+    scored = detector.predict(ready, threshold)
+    found = predict_with_explanation(scored, SYNTACTIC_FEATURES, threshold=threshold)
+    names = ["verdict", "probability", "confidence_level", "reasons", "feature_values", "n_triggered_signals", "signals"]
+    return found.select("doc_id", *names)
+
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def explain_arriving(
+    stream: DataFrame, detector_path: str, path: str, checkpoint: str, threshold: float = 0.5, available_now: bool = True
+) -> StreamingQuery:
+    """Score and explain every arriving text with the detector stored at ``detector_path``, each exactly once.
 
-    writer = totals.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).outputMode("complete").start()
+    A batch is published as the version with its number, so a batch that is repeated after a failure replaces itself.
+    ``published.all_versions`` reads the results.
+    """
+    detector = load_detector(stream.sparkSession, detector_path)
 
+    def write(batch: DataFrame, number: int) -> None:
+        publish(explained(materialise(batch), detector, threshold), path, number)
 
+    return _each_batch(stream, write, checkpoint, "append", available_now)

@@ -211,3 +211,46 @@ def test_dependency_depth_where_positions_have_gaps(spark):
     got = tokens.dependency_depth(spark.createDataFrame(rows, "doc_id long, sent_id long, pos int, head int"))
     depth = {(r["doc_id"], r["pos"]): r["depth"] for r in got.collect()}
     assert depth == {(1, 0): 0, (1, 2): 1, (1, 5): 2, (2, 7): 1, (2, 9): 0, (2, 30): 2, (2, 31): None}
+
+
+@pytest.mark.parametrize("sublinear", [False, True])
+def test_tfidf_stays_in_the_row_and_vectors_equal_the_relation(spark, monkeypatch, sublinear):
+    texts = [f"{'alpha beta ' * (i % 4)}gamma{i % 3} delta {'beta ' * (i % 5)}" for i in range(30)] + ["", None, "unknown words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lexical.fit_tfidf(df, min_df=2, max_features=40, sublinear=sublinear)
+    found = model.transform(df)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # the repartition above
+    rows = {(r["doc_id"], r["term_id"]): (r["tf"], r["weight"]) for r in found.collect()}
+    vectors = {r["doc_id"]: r["features"] for r in model.vectors(df).collect()}
+    assert set(vectors) == set(range(len(texts)))
+    cells = {(d, int(i)): v for d, x in vectors.items() for i, v in zip(x.indices, x.values)}
+    assert set(cells) == set(rows) and all(cells[k] == pytest.approx(rows[k][1], rel=1e-14) for k in rows)
+    assert all(x.size == model.size for x in vectors.values())
+    # Joined terms, as for a vocabulary that is too long to be listed, give the same.
+    monkeypatch.setattr(lexical, "MAX_LISTED_TERMS", 1)
+    joined = {(r["doc_id"], r["term_id"]): (r["tf"], r["weight"]) for r in model.transform(df).collect()}
+    assert joined.keys() == rows.keys()
+    assert all(joined[k][0] == rows[k][0] and joined[k][1] == pytest.approx(rows[k][1], rel=1e-12) for k in rows)
+
+
+def test_syntactic_features_are_one_scan_and_one_exchange(spark, tmp_path):
+    texts = ["The house is seen by people, walking home quickly.", "short", "", None, "!?., !?., !?., !?., !?.,", "One two. Three four, five, six seven."]
+    rows = [(i, t, "en", i % 2) for i, t in enumerate(texts)] + [(0, "Another text that repeats the id of the first one.", "en", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, y int").write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    found = syntax.syntactic_features(df, with_compression=False, keep=("y",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line and "BroadcastExchange" not in line]
+    assert plan.count("FileScan") == 1 and len(exchanges) == 1, plan
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert len(got) == len(rows)
+    # Each row is counted on its own: alone it has the same features.
+    for i, t, lang, y in rows:
+        alone = syntax.syntactic_features(spark.createDataFrame([(i, t, lang, y)], df.schema), with_compression=False, keep=("y",))
+        assert tuple(alone.first()) in got
+    zeros = [r for r in got if r[2:] == (0.0,) * len(r[2:])]
+    assert {r[0] for r in zeros} == {1, 2, 3}
+    # A parser of the user's own goes through the join and gives the same for unique ids.
+    unique = df.where("doc_id > 0")
+    own = syntax.syntactic_features(unique, annotate=lambda d, i, t, g: tokens.token_relation(d, i, t, g))
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, syntax.syntactic_features(unique).collect()), key=repr)
