@@ -8,8 +8,8 @@ If two sets reach the similarity, they share a token among the first few of each
 * orders B and C are by other hashes. Together with the sizes and with token counts by part of the token space (an
   upper bound of the overlap) they thin the candidates out.
 
-Equal sets are one node. Groups of near copies never emit all their pairs: first every node meets one other node
-of its buckets; what is linked becomes a component; then only pairs across components are left, and all of these
+Equal sets are one node. Groups of near copies never emit all their pairs: first every node meets the most typical node
+of its buckets, the one that most variants of a text are close to; what is linked becomes a component; then only pairs across components are left, and all of these
 are tried. Links inside a component would change nothing. Results are exact, up to equal 64-bit hashes of
 different shingles or sets.
 """
@@ -229,7 +229,8 @@ def _order_a(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int) -> DataFrame:
-    """(token, node, n, rest): the prefixes under order A; ``rest`` tokens follow. Copies inside one group of texts come once."""
+    """(token, node, n, rest, typical): the prefixes under order A; ``rest`` tokens follow. ``typical`` is the share of a
+    set's tokens that are frequent, in thousandths. Copies inside one group of texts come once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_LIMIT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,23 +242,31 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int)
                 keep = fresh[text]
                 text, token, place = text[keep], token[keep], place[keep]
                 n = sets.n[text].astype(np.int32)
+                common = np.bincount(sets.text, _known(sets.grams, shared.value), len(sets.n))
+                typical = (1000 * common / np.maximum(sets.n, 1)).astype(np.int32)[text]
                 columns = [pa.array(token.view(np.int64)), pa.array(sets.node[text]), pa.array(n)]
-                columns.append(pa.array((n - place - 1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest"])
+                columns += [pa.array((n - place - 1).astype(np.int32)), pa.array(typical)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest", "typical"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, rest int")
+    return docs.select("text").mapInArrow(run, "token long, node long, n int, rest int, typical int")
 
 
 def _buckets(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of buckets with several nodes, each node once, with the bucket's smallest node as ``center``."""
-    window = Window.partitionBy(*keys).orderBy("node")
+    """Rows of buckets with several nodes, each node once, with the bucket's most typical node as ``center``.
+
+    Near copies are variants of one text. Where the variants differ their tokens are rare, so the set with the largest
+    share of frequent tokens is the one that most others are close to.
+    """
+    window = Window.partitionBy(*keys).orderBy(F.desc("typical"), "node")
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = rows.select(
         *keys,
         "node",
         "n",
         "rest",
+        "typical",
         F.first("node").over(whole).alias("center"),
+        F.first("typical").over(whole).alias("center_typical"),
         F.last("node").over(whole).alias("_last"),
         F.lag("node").over(window).alias("_before"),
     )
@@ -348,13 +357,13 @@ def near_copies(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFra
     rows = _documents(docs, width, threshold)
     reps = rows.where("n > 0").groupBy("node").agg(F.min("row_no").alias("row_no"))
     nodes = stored(rows.join(few(reps.select("row_no")), "row_no").select("node", "n", "signature", "doc_id"), "nodes")
-    shared = stored(_buckets(prefixes(docs, frequent_tokens(docs, width, threshold), width, threshold), "token").drop("center"), "shared")
+    shared = stored(_buckets(prefixes(docs, frequent_tokens(docs, width, threshold), width, threshold), "token").drop("center", "center_typical"), "shared")
     # Compatible sizes fall in the same or in neighbouring ranges, so each node stands in two.
     size_range = F.floor(F.log(F.col("n")) / math.log(100 / threshold) + 1e-9)
-    sized = shared.select("token", "node", "n", "rest", F.explode(F.array(size_range, size_range + 1)).alias("sizes"))
+    sized = shared.select("token", "node", "n", "rest", "typical", F.explode(F.array(size_range, size_range + 1)).alias("sizes"))
     buckets = stored(_buckets(sized, "token", "sizes"), "buckets")
 
-    first = buckets.where("node != center").groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a"))
+    first = buckets.where("node != center").groupBy(F.col("node").alias("b")).agg(F.max_by("center", "center_typical").alias("a"))
     links = _links(first.select("a", "b"), docs, nodes, width, threshold)
     known = components(links)
     at = buckets.join(few(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
