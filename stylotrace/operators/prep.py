@@ -208,7 +208,7 @@ def build_corpus(human: DataFrame, generated: DataFrame, per_class: int | None =
 
     people = with_clean_text(dedupe_exact(drop_null(human, ["text"]), "doc_id"))
     machines = with_clean_text(generated)
-    stacked = harmonise_and_union(people, machines)
+    stacked = materialise(harmonise_and_union(people, machines))  # cleaned once; ranking reads its input twice
     sampled = stacked if per_class is None else sample_per_class(stacked, "doc_id", "is_ai", per_class, seed)
     shuffled = shuffle_with_ids(sampled, "doc_id", seed).drop("doc_id")
     return length_columns(shuffled)

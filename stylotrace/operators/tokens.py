@@ -19,6 +19,7 @@ TOKEN_COLUMNS = [
     "doc_id", "sent_id", "pos", "text", "lower", "lemma", "upos", "head", "depth",
     "verb_form", "voice", "dep", "is_punct",
 ]
+TOKENS_AT_ONCE = 1 << 15  # tokens of a user's parser that leave a task together, about
 TOKEN_SCHEMA = (
     "doc_id bigint, sent_id bigint, pos int, text string, lower string, lemma string, upos string, "
     "head int, depth int, verb_form string, voice string, dep string, is_punct boolean"
@@ -197,11 +198,16 @@ def annotate_with(
     """
 
     def annotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parse = make_annotator()
+        parse, held = make_annotator(), []
         for batch in batches:
             for doc, body in zip(batch["doc_id"], batch["text"]):
                 if body is not None:
-                    yield pd.DataFrame(parse(doc, body), columns=TOKEN_COLUMNS)
+                    held += parse(doc, body)
+                    if len(held) >= TOKENS_AT_ONCE:
+                        yield pd.DataFrame(held, columns=TOKEN_COLUMNS)
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=TOKEN_COLUMNS)
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInPandas(annotate, TOKEN_SCHEMA)
 

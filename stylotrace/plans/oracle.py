@@ -6,6 +6,7 @@ from stylotrace.fixed_values import (
     ABLATION_GROUPS,
     BASELINE_EXPERIMENTS,
     DATELINE_PATTERNS,
+    FEATURE_HYPOTHESIS,
     GENERATOR_LENGTHS,
     GENERATOR_MODELS,
     GENERATOR_STYLES,
@@ -14,6 +15,7 @@ from stylotrace.fixed_values import (
     SYNTACTIC_FEATURES,
 )
 from stylotrace.operators import lexicon as lx
+from stylotrace.operators.explain import NO_REASON, WORDING
 from stylotrace.operators.models import DETECTORS
 from stylotrace.operators.syntax import SUMMED_FEATURES
 from stylotrace.plans.queries import RUN_NAMES, SCENARIOS, SQL_GROUPS, SQL_RULES, SQL_STABILITY, SQL_SYNTACTIC, STOP_WORDS
@@ -320,7 +322,9 @@ tok AS (SELECT a.doc_id, a.sent_id, a.pos, a.text, a.lower AS lemma, a.upos, a.i
 ORACLE_SQL["token_relation"] = f"""
 WITH {tokens_cte('documents')}
 SELECT doc_id, upos, is_punct, coalesce(verb_form, '-') AS verb_form, count(*) AS n, count(*) FILTER (WHERE voice = 'Pass') AS n_passive,
-       CAST(sum(pos) AS BIGINT) AS pos_sum, CAST(sum(head) AS BIGINT) AS head_sum, CAST(sum(depth) AS BIGINT) AS depth_sum
+       CAST(sum(pos) AS BIGINT) AS pos_sum, CAST(sum(head) AS BIGINT) AS head_sum, CAST(sum(depth) AS BIGINT) AS depth_sum,
+       CAST(sum(sent_id) AS BIGINT) AS sent_sum, count(*) FILTER (WHERE depth = 0) AS n_roots, CAST(sum(length(text)) AS BIGINT) AS text_chars,
+       CAST(sum(length(lemma)) AS BIGINT) AS lemma_chars
 FROM tok GROUP BY ALL"""
 ORACLE_SQL["sentences"] = f"""
 WITH {tokens_cte('documents')} SELECT doc_id, sent_id, count(*) AS n_tokens, min(pos) AS first_pos FROM k2 GROUP BY ALL"""
@@ -581,6 +585,11 @@ SELECT doc_id, CASE WHEN p >= 0.5 THEN 'AI-Generated' ELSE 'Human-Written' END A
   CASE WHEN p > 0.85 OR p < 0.15 THEN 'High' WHEN p > 0.70 OR p < 0.30 THEN 'Medium' ELSE 'Low' END AS confidence_level,
   greatest(coalesce(n, 0), 1) AS n_reasons, coalesce(n, 0) AS n_triggered_signals, round(ttr, 5) AS ttr
 FROM scored JOIN (SELECT doc_id, ttr FROM feats) USING (doc_id) LEFT JOIN n USING (doc_id)"""
+_sentences = " ".join(
+    f"WHEN '{n}' THEN {q(f'[{h}] {WORDING[n]} ({f} {d} {float(t)})')}" for n, f, d, t, h in SQL_RULES
+)
+ORACLE_SQL["reasons"] = f"""
+WITH {SIGNALS} SELECT doc_id, coalesce(CASE rule {_sentences} END, {q(NO_REASON)}) AS reason FROM feats LEFT JOIN sig USING (doc_id)"""
 ORACLE_SQL["shapley_linear"] = f"""
 WITH {_scored_syn}
 SELECT feature, round(avg(abs((value - mean) * slope)), 6) AS mean_abs, round(avg((value - mean) * slope), 6) AS mean
@@ -742,3 +751,14 @@ SELECT scenario, method, n_rows, true AS proper, true AS home_is_base FROM n, m"
 ORACLE_SQL["ablate_one_forest"] = f"SELECT {listed(SYNTACTIC_FEATURES, 'subset')}, true AS proper, true AS band_follows"
 ORACLE_SQL["ablate_group_forest"] = f"SELECT {listed(ABLATION_GROUPS, 'subset')}, true AS proper, true AS band_follows"
 ORACLE_SQL["refit_forest"] = "SELECT true AS f1, true AS auc_roc, true AS accuracy, 2::BIGINT AS n_fits"
+ORACLE_SQL["model_roundtrip_same"] = f"WITH {CONV}, {SPLIT} SELECT doc_id, true AS same FROM split WHERE split = 'test'"
+ORACLE_SQL["detector_rows"] = f"""
+WITH {CONV}, {SPLIT}, m AS (SELECT {listed(DETECTORS, 'method')})
+SELECT doc_id, method, true AS proper, true AS as_alone FROM split, m WHERE split = 'test'"""
+ORACLE_SQL["logistic_optimum"] = f"SELECT {listed(SURFACE_FEATURES, 'name')}, true AS flat"
+ORACLE_SQL["importance_names"] = " UNION ALL ".join(
+    f"SELECT '{f}' AS name, {q(FEATURE_HYPOTHESIS[f]) if f in FEATURE_HYPOTHESIS else 'NULL::VARCHAR'} AS hypothesis, true AS not_negative, true AS sum_is_one"
+    for f in SYNTACTIC_FEATURES
+)
+ORACLE_SQL["top_terms_sides"] = "SELECT unnest(['ai', 'human']) AS side, 10::BIGINT AS n_terms, true AS furthest"
+ORACLE_SQL["coefficient_names"] = f"SELECT {listed(SURFACE_FEATURES, 'name')}, true AS finite"

@@ -363,6 +363,10 @@ def token_relation(spark, sf):
         F.sum(F.col("pos").cast("bigint")).alias("pos_sum"),
         F.sum(F.col("head").cast("bigint")).alias("head_sum"),
         F.sum(F.col("depth").cast("bigint")).alias("depth_sum"),
+        F.sum(F.col("sent_id").cast("bigint")).alias("sent_sum"),
+        F.count_if(F.col("dep") == "root").alias("n_roots"),
+        F.sum(F.char_length("text").cast("bigint")).alias("text_chars"),
+        F.sum(F.char_length("lemma").cast("bigint")).alias("lemma_chars"),
     )
 
 
@@ -635,6 +639,83 @@ def model_roundtrip(spark, sf):
     return rounded(models.load_detector(spark, path).predict(test, keep=["doc_id", "y"]), "p")
 
 
+@query
+def model_roundtrip_same(spark, sf):
+    """Per held-out row: does the detector read back from storage give the probability of the one that was stored?"""
+    train, test = split_conversations(spark, sf)
+    path = shared_dir(spark, "model")
+    fitted = models.fit_detector(train, models.DETECTORS["tfidf_logreg"])
+    fitted.save(path)
+    before, after = (d.predict(test, keep=["doc_id"]).select("doc_id", "p", "y_pred") for d in (fitted, models.load_detector(spark, path)))
+    after = after.select("doc_id", F.col("p").alias("q"), F.col("y_pred").alias("q_pred"))
+    same = (F.col("p") == F.col("q")) & (F.col("y_pred") == F.col("q_pred")) & F.col("p").between(0, 1)
+    return before.join(after, "doc_id").select("doc_id", same.alias("same"))
+
+
+@query
+def detector_rows(spark, sf):
+    """Per held-out row and detector: is the probability proper, and does the predicted class follow from it?"""
+    split = models.with_families(
+        sampling.stratified_split(conversations(spark, sf), "doc_id", "y"), models.DETECTORS.values()
+    )
+    fitted = models.fit_detectors(split.where("split = 'train'"), models.DETECTORS)
+    test = split.where("split = 'test'")
+    together = models.score_together(test, fitted, ["doc_id"])
+    alone = [d.predict(test, keep=["doc_id"]).select("doc_id", F.lit(n).alias("method"), F.col("p").alias("q"), "y_pred") for n, d in fitted.items()]
+    both = together.join(functools.reduce(DataFrame.unionByName, alone), ["doc_id", "method"])
+    proper = F.col("p").between(0, 1) & ((F.col("p") >= 0.5) == (F.col("y_pred") == 1))
+    return both.select("doc_id", "method", proper.alias("proper"), (F.abs(F.col("p") - F.col("q")) < 1e-12).alias("as_alone"))
+
+
+@query
+def logistic_optimum(spark, sf):
+    """Per input of the surface logistic model: is the gradient of its penalised loss zero?"""
+    train, _ = split_conversations(spark, sf)
+    spec = models.DETECTORS["stylo_logreg"]
+    fitted = models.fit_detector(train, spec)
+    columns = models.family_columns("surface")
+    scaled = fitted.scaler.transform(models.family_features(train, "surface"), models.SCALED)
+    ready = sampling.with_class_weights(fitted.predict(scaled, keep=["y", *[models.SCALED + c for c in columns]]), "y")
+    slope = fitted.classifier.coefficients.toArray()
+    c = spec.classifier_preset()["c"]
+    pull = F.col("weight") * (F.col("p") - F.col("y"))
+    sums = ready.agg(*[F.sum(pull * F.col(models.SCALED + f)).alias(f"_{k}") for k, f in enumerate(columns)], F.sum("weight").alias("_n"))
+    flat = [
+        F.struct(F.lit(name).alias("name"), (F.abs(F.col(f"_{k}") + float(slope[k]) / c) / F.col("_n") < 1e-4).alias("flat"))
+        for k, name in enumerate(SURFACE_FEATURES)
+    ]
+    return sums.select(F.inline(F.array(*flat)))
+
+
+@query
+def importance_names(spark, sf):
+    """Importances of the core forest: every feature once, with its hypothesis; none negative, their sum 1."""
+    train = materialise(conversation_features(spark, sf, with_compression=True))
+    found = materialise(explain.feature_importance(models.fit_detector(train, models.DETECTORS["core"]).weights(spark)))
+    total = found.agg(F.abs(F.sum("weight") - 1) < 1e-9).first()[0]  # one row
+    return found.select("name", "hypothesis", (F.col("weight") >= 0).alias("not_negative"), F.lit(total).alias("sum_is_one"))
+
+
+@query
+def top_terms_sides(spark, sf):
+    """The ends of a TF-IDF model's coefficients: ten terms a side, none of the others further out."""
+    train, _ = split_conversations(spark, sf)
+    weights = materialise(models.fit_detector(train, models.NOTEBOOK_DETECTORS["tfidf_logreg"]).weights(spark))
+    ends = explain.top_terms(weights, 10, both_ends=True)
+    others = weights.join(ends.select("name").distinct(), "name", "left_anti")
+    limits = others.agg(F.min("weight").alias("_low"), F.max("weight").alias("_high")).first()  # one row
+    further = F.when(F.col("side") == "ai", F.col("weight") >= limits["_high"]).otherwise(F.col("weight") <= limits["_low"])
+    return ends.groupBy("side").agg(F.count("name").alias("n_terms"), F.every(further).alias("furthest"))
+
+
+@query
+def coefficient_names(spark, sf):
+    """Every input of the surface logistic model has one finite coefficient."""
+    train, _ = split_conversations(spark, sf)
+    weights = models.fit_detector(train, models.DETECTORS["stylo_logreg"]).weights(spark)
+    return weights.select("name", (F.abs("weight") < float("inf")).alias("finite"))
+
+
 @query
 def cross_validate_core(spark, sf):
     rows = conversation_features(spark, sf, with_compression=True)
@@ -702,6 +783,14 @@ def rule_signals(spark, sf):
     return rounded(rows.select("doc_id", "s.*"), "value", "threshold")
 
 
+@query
+def reasons(spark, sf):
+    """The sentences of every conversation's explanation; their values, which have their own query, are left out."""
+    rows = conversation_features(spark, sf)
+    sentence = F.explode(explain.reasons(explain.rule_signals(SQL_RULES), SQL_RULES))
+    return rows.select("doc_id", sentence.alias("s")).select("doc_id", F.regexp_replace("s", r" -?[0-9.]+ ([<>])", " $1").alias("reason"))
+
+
 @query
 def explained(spark, sf):
     train, test = split_features(spark, sf)
