@@ -7,8 +7,10 @@ largest product. By the triangle inequality a subtree can be skipped when its sh
 from the query than the best found so far. The factor relaxes this test: with 1 the search is exact, above 1 it
 skips more.
 
-Trees and queries meet as (shard, block of queries) pairs, each one task's work of bounded size; the best of each
-shard are merged by a ranked window, cut to k in every partition before the shuffle. Many equal vectors only make
+The rows of a shard and the queries are sorted so that a task first reads the shard, builds its tree once, and then
+streams the queries past it in blocks. Vectors of the base move once, or, with fewer shards than cores, once for each of
+the parts that the queries are dealt to. The best of each shard are merged by a ranked window, cut to k in every
+partition before the shuffle. Many equal vectors only make
 a node whose shell has no width; they are told apart by id.
 """
 
@@ -159,25 +161,6 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
-def _packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key: ids and vectors of its rows as bytes."""
-
-    def pack(keys: tuple, table: pa.Table) -> pa.Table:
-        vectors = table.column("vector").combine_chunks()
-        return pa.table({
-            key: pa.array([keys[0].as_py()], pa.int32()),
-            "ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()),
-            "vectors": pa.array([vectors.flatten().to_numpy().tobytes()], pa.binary()),
-        })
-
-    return rows.groupBy(key).applyInArrow(pack, f"{key} int, ids binary, vectors binary")
-
-
-def _unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    names = np.frombuffer(ids, np.int64)
-    return names, np.frombuffer(vectors, np.float64).reshape(len(names), -1)
-
-
 def nearest(
     base: DataFrame,
     queries: DataFrame,
@@ -188,7 +171,7 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k rows of ``base`` with the largest inner product.
 
-    Both have (vec_id, embedding) with embeddings of one length. Products are in double precision on the original
+    Both have (vec_id, embedding) with embeddings of one length; usable ones of several lengths are an error. Products are in double precision on the original
     vectors; ties go to the smaller vec_id; a row is no candidate of the query with its own id. Rows without an
     id, and vectors that are null, zero or hold a null or non-finite component, take no part. Of rows that repeat
     an id the one with the smallest embedding counts. ``factor`` 1 is exact search.
@@ -201,26 +184,43 @@ def nearest(
     points, asked = prepared(base), prepared(queries)
     squares = points.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), F.count(F.lit(1))).first()
     norm, shards = math.sqrt(squares[0] or 0.0) * (1 + 1e-12), max(1, math.ceil(squares[1] / shard_rows))
-    blocks = max(1, math.ceil(asked.count() / block_rows))
-    dealt = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    trees = stored(_packed(dealt(points, shards, "shard"), "shard"), "shards")
-    sets = stored(_packed(dealt(asked, blocks, "block"), "block"), "blocks")
-    # Every block of queries meets every shard: the stated query set against all rows, in blocks.
-    spread = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.withColumnsRenamed({"ids": "base_ids", "vectors": "base_vectors"})
-    pairs = spread.join(sets, "block").repartition(shards * blocks, "shard", "block")
+    lengths = points.select(F.size("vector").alias("n")).union(asked.select(F.size("vector"))).agg(F.min("n"), F.max("n")).first()
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"vectors of {lengths[0]} and of {lengths[1]} entries")
+    # Every query meets every shard: the stated query set against all rows, in blocks.
+    parts = max(1, math.ceil(2 * points.sparkSession.sparkContext.defaultParallelism / shards))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = points.select(deal(shards).alias("shard"), everywhere(parts).alias("part"), F.lit(0).alias("kind"), "id", "vector")
+    rows = rows.unionByName(
+        asked.select(everywhere(shards).alias("shard"), deal(parts).alias("part"), F.lit(1).alias("kind"), "id", "vector")
+    )
+    cells = rows.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, tree = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = [batch.column(c)[i].as_py() for c in ("base_ids", "base_vectors", "ids", "vectors")]
-                tree = build(*_unpacked(raw[0], raw[1]))
-                names, vectors = _unpacked(raw[2], raw[3])
-                best = search(tree, names, vectors, norm, k, factor)
-                found = np.isfinite(best.score)
-                columns = [np.repeat(names, k)[found.ravel()], best.id[found], best.score[found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("base_ids", "base_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
+            here = np.stack([batch.column(c).to_numpy() for c in ("shard", "part", "kind")], axis=1)
+            edges = np.flatnonzero((here[1:] != here[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *edges], [*edges, len(here)], strict=True):
+                if start == stop:
+                    continue
+                if cell != (here[start, 0], here[start, 1]):
+                    cell, held, tree = (here[start, 0], here[start, 1]), [], None
+                names = batch.column("id").slice(start, stop - start).to_numpy()
+                vectors = batch.column("vector").slice(start, stop - start).flatten().to_numpy().reshape(len(names), -1)
+                if here[start, 2] == 0:
+                    held.append((names, vectors))
+                    continue
+                if held:
+                    tree, held = build(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                for at in range(0, len(names) if tree else 0, block_rows):
+                    mine = names[at : at + block_rows]
+                    best = search(tree, mine, vectors[at : at + block_rows], norm, k, factor)
+                    found = np.isfinite(best.score)
+                    columns = [np.repeat(mine, k)[found.ravel()], best.id[found], best.score[found]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

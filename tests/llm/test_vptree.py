@@ -72,3 +72,16 @@ def test_a_tree_holds_every_point_once(n):
     leaves = tree.inner < 0
     inner = int((tree.stop - tree.start)[leaves].sum() + (~leaves).sum())
     assert inner == n and sorted(tree.ids.tolist()) == list(range(n))
+
+
+def test_vectors_of_several_lengths_are_refused(spark):
+    rows = [(0, [1.0, 2.0], None), (20, [1.0, 2.0, 3.0], None), (3, [1.0], None)]
+    with pytest.raises(ValueError, match="entries"):
+        found(spark, rows)
+
+
+@pytest.mark.parametrize("shard_rows", [64, 100_000])
+def test_shards_and_blocks_do_not_change_exact_results(spark, shard_rows):
+    rows = clusters(400, 4)
+    got, want = found(spark, rows, k=5, factor=1.0, shard_rows=shard_rows, block_rows=3), brute(rows, 5)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
