@@ -240,6 +240,17 @@ def corpus_profile(df: DataFrame, id_redacted: str = "is_redacted") -> DataFrame
     )
 
 
+def corpus_totals(df: DataFrame, id_redacted: str = "is_redacted") -> DataFrame:
+    """One row for the whole corpus: rows, rows of each class, redacted rows, mean words (rounded down; 0 without rows)."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if("is_ai").alias("n_ai"),
+        F.count_if(~F.col("is_ai")).alias("n_human"),
+        F.count_if(id_redacted).alias("n_redacted"),
+        F.coalesce(F.floor(F.sum("length_words") / F.count("length_words")), F.lit(0)).cast("bigint").alias("mean_words"),
+    )
+
+
 def script_share(text: Column, letter: str = CYRILLIC_LETTER) -> Column:
     """Percent of whitespace words with at least one letter of the script; 0 for no words."""
     words = T.whitespace_words(text)

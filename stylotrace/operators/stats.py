@@ -147,9 +147,12 @@ def _exact_p_value(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 
 def mann_whitney(
-    df: DataFrame, label: str, features: Sequence[str], alpha: float = 0.05, exact: bool = True
+    df: DataFrame, label: str, features: Sequence[str], alpha: float = 0.05, exact: bool = True, n_tests: int | None = None
 ) -> DataFrame:
-    """U of the human sample, p, rank-biserial effect and significance after Bonferroni, per feature."""
+    """U of the human sample, p, rank-biserial effect and significance after Bonferroni, per feature.
+
+    ``n_tests`` is the number of tests of the whole study, if only some of its features are given.
+    """
     ranked = mid_ranks(df, features, label)
     n = F.col("n").cast("double")
     sums = ranked.groupBy("feature").agg(
@@ -176,7 +179,7 @@ def mann_whitney(
         F.round("u", 1).alias("u"),
         "p_value",
         effect.alias("effect"),
-        (F.col("p_value") < alpha / len(features)).alias("significant"),
+        (F.col("p_value") < alpha / (n_tests or len(features))).alias("significant"),
     )
 
 

@@ -93,6 +93,11 @@ SELECT is_ai, source, n_rows, n_redacted, mean_words,
        CAST(sum(n_rows) OVER (PARTITION BY is_ai) AS BIGINT) AS class_rows,
        round(sum(n_rows) OVER (PARTITION BY is_ai) / sum(n_rows) OVER (), 6) AS class_share FROM g"""
 
+ORACLE_SQL["corpus_totals"] = f"""
+WITH t AS (SELECT role = 'assistant' AS is_ai, turn % 2 = 1 AS red, len({ws_words('text')}) AS w FROM conversations WHERE role <> 'system')
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE is_ai) AS n_ai, count(*) FILTER (WHERE NOT is_ai) AS n_human,
+       count(*) FILTER (WHERE red) AS n_redacted, CAST(coalesce(floor(avg(w)), 0) AS BIGINT) AS mean_words FROM t"""
+
 
 def cleaned(x: str) -> str:
     out = f"replace(replace(replace({x}, chr(10), ' '), chr(13), ' '), chr(160), ' ')"
@@ -224,7 +229,8 @@ ORACLE_SQL["qa_long"] = f"""
 SELECT conv_id || '/' || turn AS question, {strip('text')} AS text, CASE role WHEN 'user' THEN 0 ELSE 1 END AS is_ai
 FROM conversations WHERE role IN ('user', 'assistant') AND length(text) >= 100"""
 ORACLE_SQL["roundtrip_csv"] = """
-SELECT doc_id AS id, text, lang = 'en' AS is_ai, source, lang AS topic, 0.7::DOUBLE AS temperature, n_chars AS length_chars FROM documents"""
+SELECT doc_id AS id, text, lang = 'en' AS is_ai, false AS is_redacted, source, lang AS topic, 0.7::DOUBLE AS temperature,
+       0.9::DOUBLE AS top_p, 0::BIGINT AS length_words, n_chars AS length_chars FROM documents"""
 
 
 # Surface features --------------------------------------------------------------------------------
@@ -441,15 +447,15 @@ mwu AS (SELECT feature, round(mh, 4) AS mean_human, round(ma, 4) AS mean_ai, rou
 _band = "CASE WHEN effect >= 0.5 THEN 'large' WHEN effect >= 0.3 THEN 'medium' WHEN effect >= 0.1 THEN 'small' ELSE 'none' END AS band"
 _mwu_out = "feature, mean_human, mean_ai, u, round(p_value, 6) AS p_value, effect, significant"
 _n = len(SQL_SYNTACTIC)
-ORACLE_SQL["mann_whitney"] = f"WITH {FEATS}, {long_cte()}, {mwu_cte(_n)} SELECT {_mwu_out} FROM mwu"
+ORACLE_SQL["mann_whitney"] = f"WITH {FEATS}, {long_cte()}, {mwu_cte(len(SYNTACTIC_FEATURES))} SELECT {_mwu_out} FROM mwu"
 ORACLE_SQL["feature_ranking"] = (
-    f"WITH {FEATS}, {long_cte()}, {mwu_cte(_n)} SELECT {_mwu_out}, {_band} FROM mwu ORDER BY effect DESC, feature LIMIT 8"
+    f"WITH {FEATS}, {long_cte()}, {mwu_cte(len(SYNTACTIC_FEATURES))} SELECT {_mwu_out}, {_band} FROM mwu ORDER BY effect DESC, feature LIMIT 8"
 )
 ORACLE_SQL["surface_ranking"] = (
     f"WITH {CONV}, {surface_cte('conv', keep=', y')}, {long_cte('surf', SURFACE_FEATURES)}, {mwu_cte(10)} SELECT {_mwu_out}, {_band} FROM mwu"
 )
 ORACLE_SQL["significant_features"] = f"""
-WITH {FEATS}, {long_cte()}, {mwu_cte(_n)} SELECT count(*) FILTER (WHERE significant) AS n_significant, count(*) AS n_features FROM mwu"""
+WITH {FEATS}, {long_cte()}, {mwu_cte(len(SYNTACTIC_FEATURES))} SELECT count(*) FILTER (WHERE significant) AS n_significant, count(*) AS n_features FROM mwu"""
 _order = ", ".join(f"({i}, {q(f)})" for i, f in enumerate(SQL_SYNTACTIC))
 ORACLE_SQL["spearman"] = f"""
 WITH {FEATS}, {long_cte()}, names(i, feature) AS (VALUES {_order}),
@@ -583,8 +589,8 @@ ORACLE_SQL["explained"] = f"""
 WITH {_scored_syn}, sig AS ({_rules_sql}), n AS (SELECT doc_id, count(*) AS n FROM sig GROUP BY doc_id)
 SELECT doc_id, CASE WHEN p >= 0.5 THEN 'AI-Generated' ELSE 'Human-Written' END AS verdict, round(p, 4) AS probability,
   CASE WHEN p > 0.85 OR p < 0.15 THEN 'High' WHEN p > 0.70 OR p < 0.30 THEN 'Medium' ELSE 'Low' END AS confidence_level,
-  greatest(coalesce(n, 0), 1) AS n_reasons, coalesce(n, 0) AS n_triggered_signals, round(ttr, 5) AS ttr
-FROM scored JOIN (SELECT doc_id, ttr FROM feats) USING (doc_id) LEFT JOIN n USING (doc_id)"""
+  greatest(coalesce(n, 0), 1) AS n_reasons, coalesce(n, 0) AS n_triggered_signals, round(ttr, 5) AS ttr, {len(SQL_SYNTACTIC)}::BIGINT AS n_values, value_sum
+FROM scored JOIN (SELECT doc_id, ttr, round({' + '.join(f'round({f}, 5)' for f in SQL_SYNTACTIC)}, 3) AS value_sum FROM feats) USING (doc_id) LEFT JOIN n USING (doc_id)"""
 _sentences = " ".join(
     f"WHEN '{n}' THEN {q(f'[{h}] {WORDING[n]} ({f} {d} {float(t)})')}" for n, f, d, t, h in SQL_RULES
 )

@@ -125,6 +125,13 @@ def corpus_profile(spark, sf):
     return prep.corpus_profile(prep.length_columns(named))
 
 
+@query
+def corpus_totals(spark, sf):
+    rows = table(spark, sf, "conversations").where("role != 'system'")
+    named = rows.select((F.col("role") == "assistant").alias("is_ai"), (F.col("turn") % 2 == 1).alias("is_redacted"), "text")
+    return prep.corpus_totals(prep.length_columns(named))
+
+
 @query
 def corpus_clean(spark, sf):
     return prep.with_clean_text(documents(spark, sf)).select("doc_id", "text")
@@ -285,7 +292,7 @@ def roundtrip_csv(spark, sf):
     path = shared_dir(spark, "csv")
     corpora.write_corpus(rows, path, bom=True, mode="overwrite")
     back = corpora.read_corpus(spark, path, corpora.MAIN_CORPUS)
-    return back.select("id", "text", "is_ai", "source", "topic", "temperature", F.col("length_chars").cast("bigint").alias("length_chars"))
+    return back.withColumns({c: F.col(c).cast("bigint") for c in ("length_words", "length_chars")})
 
 
 @query
@@ -487,13 +494,13 @@ def class_means(spark, sf):
 
 @query
 def mann_whitney(spark, sf):
-    tested = stats.mann_whitney(conversation_features(spark, sf), "y", SQL_SYNTACTIC)
+    tested = stats.mann_whitney(conversation_features(spark, sf), "y", SQL_SYNTACTIC, n_tests=len(SYNTACTIC_FEATURES))
     return rounded(tested, "p_value")
 
 
 @query
 def feature_ranking(spark, sf):
-    return rounded(stats.feature_ranking(stats.mann_whitney(conversation_features(spark, sf), "y", SQL_SYNTACTIC)), "p_value")
+    return rounded(stats.feature_ranking(stats.mann_whitney(conversation_features(spark, sf), "y", SQL_SYNTACTIC, n_tests=len(SYNTACTIC_FEATURES))), "p_value")
 
 
 @query
@@ -505,7 +512,7 @@ def surface_ranking(spark, sf):
 
 @query
 def significant_features(spark, sf):
-    return stats.significant_count(stats.mann_whitney(conversation_features(spark, sf), "y", SQL_SYNTACTIC))
+    return stats.significant_count(stats.mann_whitney(conversation_features(spark, sf), "y", SQL_SYNTACTIC, n_tests=len(SYNTACTIC_FEATURES)))
 
 
 @query
@@ -804,6 +811,8 @@ def explained(spark, sf):
         F.size("reasons").cast("bigint").alias("n_reasons"),
         F.col("n_triggered_signals").cast("bigint").alias("n_triggered_signals"),
         F.element_at("feature_values", "ttr").alias("ttr"),
+        F.size("feature_values").cast("bigint").alias("n_values"),
+        F.round(F.aggregate(F.map_values("feature_values"), F.lit(0.0), lambda a, x: a + x), 3).alias("value_sum"),
     )
 
 

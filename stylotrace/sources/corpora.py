@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stylotrace.functions import text as X
+from stylotrace.sources import csv_ranges
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -33,13 +34,16 @@ QA_CORPUS = _schema(
 )
 
 
-def read_corpus(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", by_ranges: bool = True) -> DataFrame:
     """A corpus with a declared schema: headed CSV with quoted multi-line text, or Parquet.
 
-    Multi-line CSV files cannot be split, one file is one task; large corpora belong in Parquet.
+    CSV files are read by byte ranges, so one large file is the work of many tasks. Without ``by_ranges`` Spark's own
+    reader takes them, one task for each file: the better choice for very many small files.
     """
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
+    if by_ranges:
+        return csv_ranges.read_csv(spark, path, schema)
     return (
         spark.read.schema(schema)
         .option("header", True)
