@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylotrace.llm.support import free_name, stored
+from stylotrace.llm.support import few, free_name, stored
 
 # Weight and schedule of the first, second and third source in order of code points, then again from the start.
 # A schedule is a list of (moment, strength); between the moments the strength is interpolated.
@@ -179,7 +179,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     own, places, place = (free_name(docs, n) for n in ("_id", "_positions", "_position"))
     chosen = plan(docs, **options).where(F.size("positions") > 0)
     chosen = chosen.groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias(places))
-    keyed = chosen.select(F.col("doc_id").alias(own), places)
+    keyed = few(chosen.select(F.col("doc_id").alias(own), places))
     read = docs.join(keyed, F.col("doc_id").eqNullSafe(F.col(own))).select(
         *[docs[c] for c in docs.columns], F.explode(places).alias(place)
     )

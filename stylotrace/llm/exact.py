@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylotrace.llm.support import free_name, stored, without_blanks
+from stylotrace.llm.support import few, free_name, one_of_repeats, stored, without_blanks
 
 DIGESTS_PER_FILTER = 1 << 14
 TEXT_KEY = ["short", "text_sha256", "n_bytes"]
@@ -235,11 +235,14 @@ def half_of_ids() -> Column:
 def drop_copies(docs: DataFrame, incoming: Column) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows one."""
     own, sha, points = (free_name(docs, n) for n in ("_id", "_sha", "_n"))
-    kept = exact_dedup(docs, incoming).where("kept")
-    kept = kept.select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha), F.col("n_points").alias(points))
+    found = stored(exact_dedup(docs, incoming).select("doc_id", "text_sha256", "n_points", "kept"), "verdicts")
+    texts = found.groupBy("doc_id", "text_sha256", "n_points").agg(F.bool_or("kept").alias("kept"))
+    gone = few(texts.where(~F.col("kept")).select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha), F.col("n_points").alias(points)))
     match = (
         F.col("doc_id").eqNullSafe(F.col(own))
         & (F.sha2(without_blanks(F.col("text")), 256) == F.col(sha))
         & (F.coalesce(F.char_length("text"), F.lit(0)) == F.col(points))
     )
-    return docs.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"])
+    # Copies are named, not what stays: texts only move if the copies are too many to be broadcast.
+    repeats = found.groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct()
+    return one_of_repeats(docs.join(gone, match, "left_anti"), repeats)

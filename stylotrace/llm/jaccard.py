@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylotrace.llm.support import few, free_name, stored
+from stylotrace.llm.support import few, free_name, one_of_repeats, stored
 
 CHUNK = 1 << 21  # bytes of text that are hashed at once
 LOW = 0.3  # share of the token space in which frequent tokens are looked for
@@ -401,6 +401,11 @@ def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFra
     Rows without an id stay; rows that repeat an id and a text are one.
     """
     own = free_name(docs, "_id")
-    found = near_copies(docs, width, threshold).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    found = stored(near_copies(docs, width, threshold).select("doc_id", "component_id"), "components")
+    found = found.where("doc_id IS NOT NULL")
+    gone = few(found.where("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct())
+    # A row may repeat an id with another text that is its component's smallest: the id stays with it.
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    gone = few(gone.join(stays, own, "left_anti"))
+    repeats = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return one_of_repeats(docs.join(gone, F.col("doc_id") == F.col(own), "left_anti"), repeats)

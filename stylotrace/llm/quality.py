@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylotrace.llm.support import BLANKS, free_name, stored
+from stylotrace.llm.support import BLANKS, few, free_name, stored
 
 # Measures of a text and the upper edges of their bins; each measure also has a bin for what lies beyond.
 EDGES = {
@@ -177,5 +177,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     own = free_name(docs, "_id")
-    kept = classify(docs, labels, threshold).where("kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    judged = classify(docs, labels, threshold).groupBy(F.col("doc_id").alias(own)).agg(F.bool_or("kept").alias("kept"))
+    gone = few(judged.where(~F.col("kept")).select(own))  # what goes is named, so texts need not move
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")

@@ -41,3 +41,20 @@ def few(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if its rows are counted to be few; else as it is, for a shuffled join."""
     df = stored(df, "few")
     return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def one_of_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of those that repeat an id and a text; ``repeats`` holds the ids that may be repeated.
+
+    Only rows with such an id are moved to be compared.
+    """
+    repeats = stored(repeats, "repeats")
+    n = repeats.count()
+    if not n:
+        return docs
+    own = free_name(docs, "_id")
+    listed = repeats.toDF(own)
+    listed = F.broadcast(listed) if n <= FEW_ROWS else listed
+    same = F.col(id_col).eqNullSafe(F.col(own))
+    again = docs.join(listed, same, "left_semi").dropDuplicates([id_col, text])
+    return docs.join(listed, same, "left_anti").unionByName(again)
