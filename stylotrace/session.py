@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     back to a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    unique = next(tempfile._get_candidate_names())
+    unique = uuid.uuid4().hex[:16]
     if base:
         return f"{base.rstrip('/')}/{purpose}-{unique}"
     if not _local(spark):
