@@ -425,6 +425,9 @@ WITH {FEATS}, {long_cte()}
 SELECT feature, count(*) AS n_rows, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS std, round(min(value), 3) AS min,
        round(quantile_cont(value, 0.25), 3) AS q25, round(quantile_cont(value, 0.5), 3) AS q50, round(quantile_cont(value, 0.75), 3) AS q75,
        round(max(value), 3) AS max FROM lng GROUP BY feature"""
+ORACLE_SQL["running_counts"] = """
+WITH c AS (SELECT CASE WHEN lang <> 'es' THEN lang END AS lang, n_chars, count(*) AS n FROM documents GROUP BY ALL)
+SELECT lang, n_chars, n, CAST(sum(n) OVER w AS BIGINT) AS cum_n, lead(n) OVER w AS next_n FROM c WINDOW w AS (PARTITION BY lang ORDER BY n_chars)"""
 ORACLE_SQL["class_means"] = f"WITH {FEATS}, {long_cte()} SELECT y, feature, round(avg(value), 4) AS mean FROM lng GROUP BY ALL"
 
 

@@ -21,6 +21,7 @@ from stylotrace.fixed_values import (
 from stylotrace.functions.numbers import sanitise
 from stylotrace.operators import evaluate, explain, lexical, models, prep, sampling, stats, syntax, tokens
 from stylotrace.operators.attribution import tree_attribution
+from stylotrace.operators.ordering import prefix_sum
 from stylotrace.operators.surface import surface_features, surface_features_v1
 from stylotrace.plans import ablation, robustness, validation
 from stylotrace.plans.closed_form import fit_discriminant
@@ -487,6 +488,14 @@ def feature_describe(spark, sf):
     return stats.describe(materialise(conversation_features(spark, sf)), SQL_SYNTACTIC)
 
 
+@query
+def running_counts(spark, sf):
+    """Documents up to each length by language, Spanish ones as the null group, over many ranges."""
+    rows = table(spark, sf, "documents").select(F.when(F.col("lang") != "es", F.col("lang")).alias("lang"), "n_chars")
+    counts = stats.value_counts(rows, ["lang"], "n_chars")
+    return prefix_sum(counts, ["lang"], "n_chars", ["n"], following=["n"], rows_per_bucket=100)
+
+
 @query
 def class_means(spark, sf):
     return stats.class_means(conversation_features(spark, sf), "y", SQL_SYNTACTIC)
