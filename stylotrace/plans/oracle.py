@@ -142,6 +142,7 @@ SELECT id, text, is_ai, CASE WHEN is_ai THEN 'assistant' ELSE 'human_archive' EN
        CASE WHEN is_ai THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS temperature,
        CASE WHEN is_ai THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS top_p,
        len({ws_words('text')}) AS length_words, length(text) AS length_chars FROM s"""
+ORACLE_SQL["corpus_build_capped"] = ORACLE_SQL["corpus_build"].replace("rk <= 5000", "rk <= 20")
 _share = (
     "CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: regexp_matches(x, '{0}'))) * 100.0::DOUBLE / len(w) END"
 )
@@ -213,6 +214,7 @@ ORACLE_SQL["sample_per_class"] = f"WITH {ranked('k', 'documents', 'lang')} SELEC
 ORACLE_SQL["sample_balanced"] = f"""
 WITH {CONV}, {ranked('k', 'conv', 'y')}
 SELECT doc_id, y FROM k WHERE rk <= least(1000, (SELECT min(total) FROM k))"""
+ORACLE_SQL["sample_capped"] = ORACLE_SQL["sample_balanced"].replace("least(1000", "least(10")
 ORACLE_SQL["corpus_shuffle"] = f"WITH {CONV}, {ranked('k', 'conv', '')} SELECT rk - 1 AS id, doc_id, y FROM k"
 ORACLE_SQL["split_stratified"] = f"WITH {CONV}, {SPLIT} SELECT doc_id, y, split FROM split"
 ORACLE_SQL["kfold_stratified"] = f"WITH {CONV}, {ranked('k', 'conv', 'y')} SELECT doc_id, y, (rk - 1) % 5 AS fold FROM k"

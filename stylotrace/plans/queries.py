@@ -174,21 +174,31 @@ def corpus_union(spark, sf):
     return prep.harmonise_and_union(human, generated)
 
 
-@query
-def corpus_build(spark, sf):
-    """The whole corpus job: dedupe and clean, harmonise, stack, sample, number, measure."""
+def _built(spark, sf, per_class: int) -> DataFrame:
     rows = table(spark, sf, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
     human = rows.where("role = 'user'").select("doc_id", "text", F.lit(None).cast("string").alias("rubric"))
     generated = rows.where("role = 'assistant'").select(
         "doc_id", "text", F.lit("assistant").alias("source"), F.lit("chat").alias("topic"), F.lit(False).alias("redacted")
     )
-    return prep.build_corpus(human, generated, per_class=5000).select(
+    return prep.build_corpus(human, generated, per_class=per_class).select(
         "id", "text", "is_ai", "source", "topic", "temperature", "top_p",
         F.col("length_words").cast("bigint").alias("length_words"),
         F.col("length_chars").cast("bigint").alias("length_chars"),
     )
 
 
+@query
+def corpus_build(spark, sf):
+    """The whole corpus job: dedupe and clean, harmonise, stack, sample, number, measure."""
+    return _built(spark, sf, 5000)
+
+
+@query
+def corpus_build_capped(spark, sf):
+    """The same with fewer rows per class than there are."""
+    return _built(spark, sf, 20)
+
+
 @query
 def script_share(spark, sf):
     return documents(spark, sf).select(
@@ -239,6 +249,12 @@ def sample_balanced(spark, sf):
     return sampling.balanced_sample(conversations(spark, sf), "doc_id", "y", 1000).select("doc_id", "y")
 
 
+@query
+def sample_capped(spark, sf):
+    """A cap below the size of every class."""
+    return sampling.balanced_sample(conversations(spark, sf), "doc_id", "y", 10).select("doc_id", "y")
+
+
 @query
 def corpus_shuffle(spark, sf):
     return sampling.shuffle_with_ids(conversations(spark, sf), "doc_id").select("id", "doc_id", "y")
