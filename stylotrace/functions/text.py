@@ -14,6 +14,8 @@ WS_CHARS = (
 )
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 ANY_TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]"
+# A sentence with its run of terminators; blanks between and behind these are no tokens. No loop backtracks.
+SENTENCE = rf"[^.!?]*+[.!?][.!?{WS}]*+|[^.!?]++"
 # Letters with the Uppercase property: \p{Lu} and the capital numerals and enclosed capitals.
 UPPERCASE = (
     r"[\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]"

@@ -34,6 +34,16 @@ def lexical_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return df.select(id_col, F.posexplode(T.lexical_tokens(F.col(text))).alias("pos", "token"))
 
 
+def _by_document(df: DataFrame, id_col: str, text: str, lang: str | None, carry: Sequence[str]) -> DataFrame:
+    language = F.coalesce(F.col(lang), F.lit("en")) if lang else F.lit("en")
+    # A fixed number of partitions: texts grow about twentyfold as token rows, so merging small
+    # partitions by the size of the texts would be wrong.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(
+        F.col(id_col).alias("doc_id"), language.alias("lang"), *carry, F.col(text).alias("_text")
+    ).repartition(partitions, "doc_id")
+
+
 def raw_tokens(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang",
     carry: Sequence[str] = (), outer: bool = False,
@@ -43,13 +53,7 @@ def raw_tokens(
     ``carry`` names small columns that go along with every token. With ``outer`` a text without tokens has one row whose
     position and text are null.
     """
-    language = F.coalesce(F.col(lang), F.lit("en")) if lang else F.lit("en")
-    # A fixed number of partitions: texts grow about twentyfold as token rows, so merging small
-    # partitions by the size of the texts would be wrong.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = df.select(
-        F.col(id_col).alias("doc_id"), language.alias("lang"), *carry, F.col(text).alias("_text")
-    ).repartition(partitions, "doc_id")
+    by_doc = _by_document(df, id_col, text, lang, carry)
     found = T.extract_all(F.col("_text"), T.ANY_TOKEN)
     listed = F.posexplode_outer(found) if outer else F.posexplode(found)
     return by_doc.select("doc_id", "lang", *carry, listed.alias("pos", "text"))
@@ -65,6 +69,28 @@ def sentence_ids(tokens: DataFrame) -> DataFrame:
     return counted.withColumn("sent_id", F.sum("_starts").over(running)).drop("_starts")
 
 
+def sentence_tokens(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang",
+    carry: Sequence[str] = (), outer: bool = False,
+) -> DataFrame:
+    """The rows of ``raw_tokens`` with the ``sent_id`` of ``sentence_ids``, without sorting any tokens.
+
+    Terminators are tokens of their own, so texts are cut into sentences before these are cut into tokens. Only the
+    places at which sentences start are running sums, over rows of whole sentences.
+    """
+    numbered = df.withColumn("_text_no", F.monotonically_increasing_id())  # an id may come twice
+    by_doc = _by_document(numbered, id_col, text, lang, [*carry, "_text_no"])
+    found = F.transform(T.extract_all(F.col("_text"), T.SENTENCE), lambda s: T.extract_all(s, T.ANY_TOKEN))
+    explode = F.posexplode_outer if outer else F.posexplode
+    whole = by_doc.select("doc_id", "_text_no", "lang", *carry, explode(found).alias("sent_id", "_found"))
+    earlier = Window.partitionBy("doc_id", "_text_no").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.size("_found")).over(earlier), F.lit(0)).cast("int")
+    sent_id = F.coalesce("sent_id", F.lit(0)).cast("bigint")
+    placed = whole.select("doc_id", "lang", *carry, sent_id.alias("sent_id"), first.alias("_first"), "_found")
+    listed = placed.select("doc_id", "lang", *carry, "sent_id", "_first", explode("_found").alias("_at", "text"))
+    return listed.select("doc_id", "lang", *carry, (F.col("_first") + F.col("_at")).alias("pos"), "text", "sent_id")
+
+
 def _first_rule(rules: list[tuple[str, str, str]], word: Column) -> Column:
     out = None
     for lang, value, pattern in rules:
@@ -180,7 +206,7 @@ def token_relation(
     carry: Sequence[str] = (), outer: bool = False,
 ) -> DataFrame:
     """One annotated row per token of every text, by the built-in rule annotator. ``carry`` and ``outer`` as above."""
-    tokens = part_of_speech(sentence_ids(raw_tokens(df, id_col, text, lang, carry, outer)))
+    tokens = part_of_speech(sentence_tokens(df, id_col, text, lang, carry, outer))
     return heads_and_depths(tokens).select(*TOKEN_COLUMNS, *carry)
 
 

@@ -254,3 +254,13 @@ def test_syntactic_features_are_one_scan_and_one_exchange(spark, tmp_path):
     unique = df.where("doc_id > 0")
     own = syntax.syntactic_features(unique, annotate=lambda d, i, t, g: tokens.token_relation(d, i, t, g))
     assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, syntax.syntactic_features(unique).collect()), key=repr)
+
+
+def test_sentences_are_cut_as_their_tokens_say(spark):
+    texts = [". . Hello  world.. \n\n Yes?! No ...x", None, "  ", "...", "a.b.c 3.14 ! ! z", "." * 20000 + "a", "wo rd, " * 5000, "\u2028!\x1f?b \U0001d7d8 c."]
+    rows = [(i, "en", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, lang string, text string")
+    for outer in (False, True):
+        want = tokens.sentence_ids(tokens.raw_tokens(df, outer=outer)).select("doc_id", "pos", "text", "sent_id")
+        got = tokens.sentence_tokens(df, outer=outer).select("doc_id", "pos", "text", "sent_id")
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
