@@ -256,6 +256,14 @@ def test_syntactic_features_are_one_scan_and_one_exchange(spark, tmp_path):
     assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, syntax.syntactic_features(unique).collect()), key=repr)
 
 
+def test_all_features_are_one_pass_over_the_tokens(spark):
+    """With the compression feature too: texts are cut once, and no window sorts the tokens of a whole document."""
+    df = spark.createDataFrame([(1, "en", "One sentence, then another one. And, well, a third!")], "doc_id long, lang string, text string")
+    plan = syntax.syntactic_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("RepartitionByExpression") == 1
+    assert "[doc_id" in plan and not any("Window" in line and "pos#" in line and "sent_id#" not in line for line in plan.splitlines())
+
+
 def test_sentences_are_cut_as_their_tokens_say(spark):
     texts = [". . Hello  world.. \n\n Yes?! No ...x", None, "  ", "...", "a.b.c 3.14 ! ! z", "." * 20000 + "a", "wo rd, " * 5000, "\u2028!\x1f?b \U0001d7d8 c."]
     rows = [(i, "en", t) for i, t in enumerate(texts)]
@@ -264,3 +272,9 @@ def test_sentences_are_cut_as_their_tokens_say(spark):
         want = tokens.sentence_ids(tokens.raw_tokens(df, outer=outer)).select("doc_id", "pos", "text", "sent_id")
         got = tokens.sentence_tokens(df, outer=outer).select("doc_id", "pos", "text", "sent_id")
         assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
+
+
+def test_equal_sentences_have_no_burstiness(spark):
+    df = spark.createDataFrame([(1, "en", "One two three four five six seven. " * 33)], "doc_id long, lang string, text string")
+    row = syntax.syntactic_features(df, with_compression=False).first()
+    assert (row.burstiness, row.avg_sent_len, row.total_tokens) == (0.0, 7.0, 264.0)
