@@ -1053,11 +1053,17 @@ def refit_forest(spark, sf):
 
 
 def _stream_of_documents(spark, sf):
-    """The documents as a folder of files, read as a stream."""
+    """The documents as a folder of files that arrive in two batches, read as a stream."""
     folder = shared_dir(spark, "in")
     rows = table(spark, sf, "documents").withColumn("title", F.substring_index("text", "\n", 1))
-    rows.repartition(4, "doc_id").write.mode("overwrite").parquet(folder)
-    return jobs.read_stream(spark, folder, rows.schema, files_per_batch=2)
+    files = stream_files(rows)
+    rows.repartition(files, "doc_id").write.mode("overwrite").parquet(folder)
+    return jobs.read_stream(spark, folder, rows.schema, files_per_batch=-(-files // 2))
+
+
+def stream_files(rows: DataFrame) -> int:
+    """How many files a table is dealt into: more with more input, so that none of them grows with it."""
+    return max(4, rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _run(spark, stream: DataFrame) -> DataFrame:

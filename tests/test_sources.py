@@ -165,3 +165,10 @@ def test_explained_stream_equals_the_batch_and_repeats_nothing(spark, tmp_path):
     df.where("doc_id >= 10").coalesce(1).write.mode("append").parquet(folder)
     assert plain(drain()) == plain(jobs.explained(df, detector))
     assert drain().where("size(reasons) > 0 and verdict is not null").count() == len(rows)
+
+
+def test_files_of_a_stream_grow_in_number_with_the_input(spark):
+    from stylotrace.plans.queries import stream_files
+
+    assert stream_files(spark.range(10).repartition(2)) == 4
+    assert stream_files(spark.range(1000).repartition(50)) == 50
