@@ -107,3 +107,13 @@ def test_one_of_each_and_empty_table(spark):
 def test_mix_is_a_bijection_on_a_sample():
     values = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(jaccard.mix(values, 3))) == len(values)
+
+
+def test_order_by_text_is_that_of_a_lexical_sort():
+    from stylotrace.llm.jaccard import by_text
+
+    rng = np.random.default_rng(5)
+    for texts in (3, 70_000):
+        text = np.sort(rng.integers(0, texts, 200_000))
+        key = rng.permutation(1 << 20)[:200_000].astype(np.uint64) << np.uint64(40)
+        assert (by_text(text, key, texts) == np.lexsort((key, text))).all()
