@@ -82,8 +82,13 @@ def runs_of(text: str) -> list[str]:
 
 def features(word: str) -> list[int]:
     """Hashed features of a word. Its neighbours act through the transitions."""
-    names = ["bias", f"w{word}", *[f"p{word[:k]}" for k in PREFIXES]]
-    return [zlib.crc32(n.encode()) % DIMENSIONS for n in names]
+    raw, at, crc = word.encode(), 0, zlib.crc32(b"p")
+    plain = len(raw) == len(word)
+    out = [zlib.crc32(b"bias") % DIMENSIONS, zlib.crc32(raw, zlib.crc32(b"w")) % DIMENSIONS]
+    for k in PREFIXES:  # each prefix continues the one before
+        crc, at = zlib.crc32(raw[at:k] if plain else word[at:k].encode(), crc), k
+        out.append(crc % DIMENSIONS)
+    return out
 
 
 @dataclass(frozen=True)
@@ -291,13 +296,16 @@ class _Unary(dict):
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
 
-    def __missing__(self, run: str) -> float:
-        value = float(self.weights[features(clean(run))].sum())
-        if len(run) <= 64:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[run] = value
-        return value
+    def of(self, runs: list[str]) -> np.ndarray:
+        """Log odds of the words of a text; those that are new are weighed together."""
+        fresh = [r for r in set(runs) if r not in self]
+        if len(self) + len(fresh) > KNOWN_WORDS:
+            self.clear()
+            fresh = list(set(runs))
+        if fresh:
+            ids = np.array([features(clean(r)) for r in fresh], np.int64)
+            self.update(zip(fresh, self.weights[ids].sum(axis=1).tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, runs), np.float32, len(runs))
 
 
 def _spans(text: str, odds: np.ndarray) -> list[dict[str, int]]:
@@ -331,7 +339,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         known = _Unary(f.weights)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            parts = [np.fromiter(map(known.__getitem__, runs_of(t)), np.float32) for t in texts]
+            parts = [known.of(runs_of(t)) for t in texts]
             count = np.array([len(p) for p in parts], np.int64)
             first = np.cumsum(count) - count
             odds = messages(np.concatenate([np.empty(0, np.float32), *parts]), first, count, f.transitions)

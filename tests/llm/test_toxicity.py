@@ -125,3 +125,22 @@ def test_empty_tables_and_clashing_names(spark):
     clashing = spark.createDataFrame([(*x, "y", "z") for x in labels], LABELS + ", _id string, text string")
     plain = tox.toxicity(spark.createDataFrame(docs, DOCS), known)
     assert sorted(map(tuple, tox.toxicity(wide, clashing).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_words_of_a_text_are_weighed_together_and_as_alone(monkeypatch):
+    import zlib
+
+    from stylotrace.llm import toxicity as module
+
+    texts = ["a ab abc, Straße привет ...", "", "日本語" * 60, "a b a c \U0001d7d8x longer-words"]
+    weights = np.random.default_rng(2).normal(size=module.DIMENSIONS).astype(np.float32)
+    for word in ("", "ab", "straße", "日本語日本語日本語"):
+        names = ["bias", f"w{word}", *[f"p{word[:k]}" for k in module.PREFIXES]]
+        assert module.features(word) == [zlib.crc32(n.encode()) % module.DIMENSIONS for n in names]
+    for bound in (200_000, 3):  # also where no word stays known
+        monkeypatch.setattr(module, "KNOWN_WORDS", bound)
+        known = module._Unary(weights)
+        for text in texts:
+            runs = module.runs_of(text)
+            want = [weights[module.features(module.clean(r))].sum() for r in runs]
+            assert known.of(runs).tolist() == np.array(want, np.float32).tolist()
