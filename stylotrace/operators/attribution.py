@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stylotrace.operators.forest import ForestModel
 from stylotrace.session import materialise, shared_dir
 
 CELLS_PER_PIECE = 4 << 20  # (leaf, feature) pairs that are broadcast at a time: about 120 MB
@@ -31,6 +32,8 @@ def node_table(classifier) -> DataFrame:
 
     ``weight`` is the training weight that reached the node, ``p`` the share of class 1 in it.
     """
+    if isinstance(classifier, ForestModel):
+        return classifier.node_table()
     spark = SparkSession.active()
     path = shared_dir(spark, "nodes")
     classifier.write().overwrite().save(path)
