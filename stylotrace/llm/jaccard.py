@@ -328,7 +328,8 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, thre
                 yield pa.RecordBatch.from_arrays([pa.array(sets.node), pa.array(lists, pa.list_(pa.int64()))], ["node", "grams"])
 
     # A text that repeats an id, or several ids, may give a set twice.
-    sets = stored(texts.select("text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]), "compared")
+    # Dealt by node once, they are joined from there on both sides.
+    sets = texts.select("text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
     side = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"))
     both = passed.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
@@ -370,10 +371,11 @@ def near_copies(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFra
     rows = _documents(docs, width, threshold)
     reps = rows.where("n > 0").groupBy("node").agg(F.min("row_no").alias("row_no"))
     nodes = stored(rows.join(few(reps.select("row_no")), "row_no").select("node", "n", "signature", "doc_id"), "nodes")
-    shared = stored(_buckets(prefixes(docs, frequent_tokens(docs, width, threshold), width, threshold), "token").drop("center", "center_typical"), "shared")
+    shared = _buckets(prefixes(docs, frequent_tokens(docs, width, threshold), width, threshold), "token").drop("center", "center_typical")
     # Compatible sizes fall in the same or in neighbouring ranges, so each node stands in two.
     size_range = F.floor(F.log(F.col("n")) / math.log(100 / threshold) + 1e-9)
     sized = shared.select("token", "node", "n", "rest", "typical", F.explode(F.array(size_range, size_range + 1)).alias("sizes"))
+    # The rows of a token lie together already, so those of a token and a range of sizes are not moved again.
     buckets = stored(_buckets(sized, "token", "sizes"), "buckets")
 
     first = buckets.where("node != center").groupBy(F.col("node").alias("b")).agg(F.max_by("center", "center_typical").alias("a"))
