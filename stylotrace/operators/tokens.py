@@ -6,6 +6,7 @@ below is keyed by the document and reuses that partitioning, so token rows are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +21,7 @@ TOKEN_COLUMNS = [
     "verb_form", "voice", "dep", "is_punct",
 ]
 TOKENS_AT_ONCE = 1 << 15  # tokens of a user's parser that leave a task together, about
+BYTES_IN_TASK = 2 << 20  # text that one task splits; its token rows are sorted in memory and take many times as much
 TOKEN_SCHEMA = (
     "doc_id bigint, sent_id bigint, pos int, text string, lower string, lemma string, upos string, "
     "head int, depth int, verb_form string, voice string, dep string, is_punct boolean"
@@ -34,14 +36,22 @@ def lexical_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return df.select(id_col, F.posexplode(T.lexical_tokens(F.col(text))).alias("pos", "token"))
 
 
+def _places(df: DataFrame, text: str) -> int:
+    """Partitions for the tokens of all texts: as many as shuffles have, and more where these would hold too much text."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.isStreaming:  # the size of a stream is not known
+        return least
+    size = df.agg(F.sum(F.octet_length(text)).alias("size")).first()["size"] or 0  # one row
+    return max(least, math.ceil(size / BYTES_IN_TASK))
+
+
 def _by_document(df: DataFrame, id_col: str, text: str, lang: str | None, carry: Sequence[str]) -> DataFrame:
     language = F.coalesce(F.col(lang), F.lit("en")) if lang else F.lit("en")
-    # A fixed number of partitions: texts grow about twentyfold as token rows, so merging small
+    # A given number of partitions: texts grow many times over as token rows, so merging small
     # partitions by the size of the texts would be wrong.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.select(
         F.col(id_col).alias("doc_id"), language.alias("lang"), *carry, F.col(text).alias("_text")
-    ).repartition(partitions, "doc_id")
+    ).repartition(_places(df, text), "doc_id")
 
 
 def raw_tokens(
