@@ -1,5 +1,7 @@
 """Forests grown in parts, against trees grown whole and by brute force."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -100,3 +102,25 @@ def test_fits_agree_and_survive_storage(spark, tmp_path):
 def test_labels_have_to_be_there(spark):
     with pytest.raises(Exception, match="labels have to be 0 or 1"):
         forest.fit_forest(table(spark, 20).withColumn("y", F.lit(None).cast("int")), PRESET, 30, 42)
+
+
+def test_what_passes_the_driver_is_eight_bytes_a_node(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(forest, "NODES_PER_PIECE", 400)
+    data = table(spark)
+    model = forest.fit_forest(data, PRESET, 30, 42)
+    n = model.nodes.count()
+    model.save(str(tmp_path / "forest"))
+    read = forest.load_forest(spark, str(tmp_path / "forest"))  # has thresholds only
+    for m in (model, read):
+        cuts, *pieces = m.pieces()
+        assert len(pieces) > 1 and sum(len(p.value.words) for p in pieces) == n
+        leaves = sum(len(p.value.leaves) for p in pieces)
+        assert sum(len(pickle.dumps(p.value)) for p in pieces) < 8 * (n + leaves) + 1000 * len(pieces) < 16 * n
+        assert all(len(c) <= forest.BINS for c in cuts.value)
+
+
+def test_missing_values_are_over_no_threshold(spark):
+    model = forest.fit_forest(table(spark), PRESET, 30, 42)
+    rows = spark.createDataFrame([(k, Vectors.dense([x, 0.1, x, -0.2, 0.3])) for k, x in enumerate((float("nan"), -1e300))], ["k", "features"])
+    nan, low = (r["probability"][1] for r in model.transform(rows).orderBy("k").collect())
+    assert nan == low
