@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stylotrace.fixed_values import EXPLANATION_RULES, SURFACE_FEATURES, SYNTACTIC_FEATURES
 from stylotrace.operators import explain, models, sampling
 from stylotrace.operators.ordering import hash_rank
-from stylotrace.plans import ablation, robustness, validation
+from stylotrace.plans import ablation, queries, robustness, validation
 from stylotrace.plans.closed_form import fit_discriminant
 
 FEATURES = SURFACE_FEATURES[:4]
@@ -212,3 +212,19 @@ def test_feature_families_do_not_mix(spark, data):
         fitted = models.fit_detector(texts, spec)
         alone = {r["doc_id"]: r["p"] for r in fitted.predict(texts).collect()}
         assert {r["doc_id"]: r["p"] for r in fitted.predict(wide).collect()} == pytest.approx(alone)
+
+
+def test_baselines_of_one_vocabulary_fit_it_once(spark, monkeypatch, tmp_path):
+    words = ["red", "green", "blue", "stone", "river", "cloud", "paper", "light"]
+    rows = []
+    for conv in range(40):
+        for turn, role in enumerate(("user", "assistant")):
+            picked = [words[(conv * (3 + turn) + k * (turn + 1)) % (5 + 3 * turn)] for k in range(24)]
+            rows.append((conv, turn, role, (", " if turn else " ").join(picked) + "."))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    fits = []
+    whole = models.fit_tfidf
+    monkeypatch.setattr(models, "fit_tfidf", lambda *a, **b: fits.append(1) or whole(*a, **b))
+    found = {r["method"]: r["n_rows"] for r in queries.detectors_metrics(spark, str(tmp_path)).collect()}
+    assert len(found) == 4 and len(set(found.values())) == 1 and min(found.values()) > 0
+    assert len(fits) == 1
