@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -13,7 +14,8 @@ from pyspark.sql.types import DoubleType
 from stylotrace.fixed_values import SYNTACTIC_FEATURES
 from stylotrace.functions import text as T
 from stylotrace.functions.numbers import entropy_bits, ratio
-from stylotrace.operators.tokens import token_relation
+from stylotrace.operators.token_counts import counted
+from stylotrace.operators.tokens import listed_tokens, token_relation
 
 MIN_CHARS = 20
 # Sums of logarithms and squares depend on their order in the last digits, but ranks need equal
@@ -161,9 +163,9 @@ def syntactic_features(
 ) -> DataFrame:
     """``id_col``, the columns to ``keep`` and the features of every row; short, null and token-free texts get zeros.
 
-    With the built-in annotator every row, also one that repeats an id, is counted on its own: ids and kept columns go
-    along with the tokens, and a text without any leaves one row, so nothing is joined back. A parser of the user's own
-    returns tokens only; they are joined to the rows by id.
+    With the built-in annotator every row, also one that repeats an id, is counted on its own, from arrays of its tokens that
+    never become rows (``token_counts``). A parser of the user's own returns tokens only; their features
+    (``features_from_tokens``) are joined to the rows by id.
     """
     enough = F.char_length(T.strip(F.col(text))) >= MIN_CHARS
     names = [f for f in SYNTACTIC_FEATURES if with_compression or f != "cr_pos"]
@@ -179,5 +181,13 @@ def syntactic_features(
         (F.col(lang) if lang else F.lit("en")).alias("lang"),
         F.when(enough, F.col(text)).alias("text"),
     )
-    found = features_from_tokens(token_relation(rows, "_row", "text", "lang", carried, outer=True), with_compression, carried)
+    shape = ", ".join(f"{f}: double" for f in names)
+
+    @F.arrow_udf(f"struct<{shape}>")
+    def features(lang: pa.Array, sentences: pa.Array) -> pa.Array:
+        return counted(lang, sentences, with_compression)
+
+    listed = listed_tokens(rows, "_row", "text", "lang", carried)
+    found = listed.select(*carried, features("lang", "sentences").alias("_f")).select(*carried, "_f.*")
+    found = found.withColumns({f: F.round(f, FEATURE_DIGITS) for f in SUMMED_FEATURES})
     return found.select(*[F.col(c).alias(name) for c, name in zip(carried, [id_col, *keep], strict=True)], *filled)

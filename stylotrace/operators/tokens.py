@@ -54,6 +54,16 @@ def _by_document(df: DataFrame, id_col: str, text: str, lang: str | None, carry:
     ).repartition(_places(df, text), "doc_id")
 
 
+def _sentences(text: Column) -> Column:
+    """A text as its sentences, each an array of tokens."""
+    return F.transform(T.extract_all(text, T.SENTENCE), lambda s: T.extract_all(s, T.ANY_TOKEN))
+
+
+def listed_tokens(df: DataFrame, id_col: str, text: str, lang: str | None, carry: Sequence[str]) -> DataFrame:
+    """One row per text, spread like tokens: ``doc_id``, ``lang``, what to ``carry``, and the text as arrays of tokens by sentence."""
+    return _by_document(df, id_col, text, lang, carry).select("doc_id", "lang", *carry, _sentences(F.col("_text")).alias("sentences"))
+
+
 def raw_tokens(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang",
     carry: Sequence[str] = (), outer: bool = False,
@@ -90,7 +100,7 @@ def sentence_tokens(
     """
     numbered = df.withColumn("_text_no", F.monotonically_increasing_id())  # an id may come twice
     by_doc = _by_document(numbered, id_col, text, lang, [*carry, "_text_no"])
-    found = F.transform(T.extract_all(F.col("_text"), T.SENTENCE), lambda s: T.extract_all(s, T.ANY_TOKEN))
+    found = _sentences(F.col("_text"))
     explode = F.posexplode_outer if outer else F.posexplode
     whole = by_doc.select("doc_id", "_text_no", "lang", *carry, explode(found).alias("sent_id", "_found"))
     earlier = Window.partitionBy("doc_id", "_text_no").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, -1)
